@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.operators import timestamps
+from inkspan.operators import badrows, timestamps
 from inkspan.tables import table
 
 
@@ -31,4 +31,15 @@ def p3_readings(spark: SparkSession, sf: str) -> DataFrame:
     return _dates(spark, sf, True)
 
 
-QUERIES = {"p3_found": p3_found, "p3_readings": p3_readings}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that fail to parse with the first reason that holds."""
+    return badrows.read_rows(table(spark, sf, "raw_rows")).where("reason is not null").select("row_id", "reason").distinct()
+
+
+def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that load, with their five typed fields."""
+    good = badrows.read_rows(table(spark, sf, "raw_rows")).where("reason is null")
+    return good.select("row_id", "file", "line_no", F.col("id").try_cast("long").alias("id"), "source", F.to_date("published").alias("published"), F.col("words").try_cast("long").alias("words"), "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_readings": p3_readings, "p4_found": p4_found, "p4_loaded": p4_loaded}
