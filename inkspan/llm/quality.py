@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from inkspan.tables import bounded_rows
 
 SAMPLE_TEXTS = 300
-DOCS_PER_KIND = 450
-KINDS = ("junk", "table", "list")
+DOCS_PER_KIND = 600
+KINDS = ("table", "list", "junk")
 
 FEATURES = (
     "n_words", "mean_word", "max_word", "distinct", "letters", "symbols", "digits", "end_punct", "bullets", "open_bullets", "cells", "line_words", "items",
@@ -76,7 +76,9 @@ def _phrases(rng: random.Random, sentences: list[str]) -> list[str]:
         ws = re.sub(r"[^\w\s'’-]", "", rng.choice(sentences)).split()
         if len(ws) > 5:
             k, n = rng.randrange(len(ws) - 4), rng.randrange(2, 5)
-            out.append(" ".join(ws[k : k + n]))
+            part = ws[k : k + n]
+            long = [w for w in part if len(w) > 4]  # half of the phrases without function words
+            out.append(" ".join(long if long and rng.random() < 0.5 else part))
     return out
 
 
