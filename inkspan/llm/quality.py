@@ -26,7 +26,7 @@ KINDS = ("table", "list", "junk")
 
 FEATURES = (
     "n_words", "mean_word", "max_word", "distinct", "letters", "symbols", "digits", "end_punct", "bullets", "open_bullets", "cells", "line_words", "items",
-    "common", "commas", "segment", "single", "stops", "n_lines",
+    "common", "commas", "segment", "single", "stops", "n_lines", "lower_start", "open_end",
 )
 _SYMBOLS = r"<>|{}\/=+#_*&^%$@~;`[]"
 
@@ -60,6 +60,8 @@ def with_statistics(df: DataFrame, text: str, common: list[str]) -> DataFrame:
         "line_words": F.col("n_words") / F.col("_m"),
         "items": lines(r"^[^\p{Ll}\W]\S*(\s+\S+){0,6}(?<![.!?…:,;])$"),
         "common": F.expr(f"size(filter(_words, w -> lower(w) in ({known})))") / F.col("_n") if known else F.lit(0.0),
+        "lower_start": lines(r"^\p{Ll}"),
+        "open_end": lines(r"[;,]$"),
         "commas": gone(",") / F.col("_n"),
         "segment": F.col("_n") / (gone(",;\n") + 1),
         "single": F.expr("size(filter(_words, w -> length(w) = 1))") / F.col("_n"),
@@ -75,7 +77,7 @@ def _phrases(rng: random.Random, sentences: list[str]) -> list[str]:
     while len(out) < 12:
         ws = re.sub(r"[^\w\s'’-]", "", rng.choice(sentences)).split()
         if len(ws) > 5:
-            k, n = rng.randrange(len(ws) - 4), rng.randrange(2, 5)
+            k, n = rng.randrange(len(ws) - 4), rng.choice([2, 3, 3, 4, 4, 5, 6])
             part = ws[k : k + n]
             long = [w for w in part if len(w) > 4]  # half of the phrases without function words
             out.append(" ".join(long if long and rng.random() < 0.5 else part))
@@ -85,10 +87,10 @@ def _phrases(rng: random.Random, sentences: list[str]) -> list[str]:
 def _prose(rng: random.Random, sentences: list[str]) -> str:
     n = rng.choice([1, 1, 2, 3, 5, 8, 12])
     ss = [rng.choice(sentences) for _ in range(n)]
-    shape = rng.randrange(13)
+    shape = rng.randrange(16)
     if shape == 0:
         return "\n".join(s.rstrip(".!?") for s in ss)
-    if shape == 1:  # verse
+    if shape in (1, 13, 14, 15):  # verse
         width, lines = rng.randrange(14, 34), []
         for s in ss:
             cur = ""
@@ -127,13 +129,15 @@ def _list(rng: random.Random, sentences: list[str]) -> str:
     if shape == 0:
         return ", ".join(items)
     if shape in (1, 2):
-        return "\n".join(x[:1].upper() + x[1:] for x in items)
+        end = rng.choice(["", "", "", ";", ","])
+        return "\n".join((x[:1].upper() + x[1:] if not end or rng.random() < 0.3 else x) + end for x in items)
     if shape == 3:
         return "\n".join(f"[{rng.choice('x  ')}] {x}" for x in items)
     if shape == 4:
         return "\n".join(f"{i}{rng.choice('.)')} {x}" for i, x in enumerate(items, 1))
     if shape == 5:
-        return rng.choice(sentences) + "\n" + "\n".join("- " + x for x in items)
+        m = rng.choice(["- ", "  a. ", "1. "])
+        return rng.choice(sentences) + "\n" + "\n".join((m if m != "  a. " else f"  {chr(97 + i % 26)}. ") + x for i, x in enumerate(items))
     if shape == 6:
         return "; ".join(items)
     b = rng.choice(["- ", "* ", "• ", "· ", "– ", "+ "])
@@ -165,7 +169,7 @@ def _junk(rng: random.Random, sentences: list[str]) -> str:
     shape = rng.randrange(10)
     n = rng.randrange(20, 160)
     if shape == 0:
-        return " ".join([rng.choice(["test", "click here", "urlLink", "lorem", "null", "aaa", "undefined", rng.choice(_phrases(rng, sentences)).split()[0]])] * n)
+        return " ".join([rng.choice(["test", "click here", "urlLink", "lorem", "null", "aaa", "undefined", "READ MORE", "SHARE", rng.choice(_phrases(rng, sentences)).split()[0]])] * n)
     if shape == 1:
         s = list(rng.choice(sentences).replace(" ", "") * 3)
         rng.shuffle(s)
@@ -254,15 +258,15 @@ def induce(x: np.ndarray, labels: np.ndarray, seed: int = 1) -> list[tuple[str,
     rng = np.random.default_rng(seed)
     rules, left = [], np.ones(len(x), dtype=bool)
     for kind in KINDS:
-        while (labels[left] == kind).sum() >= 4:
+        misses = 0
+        while (labels[left] == kind).sum() >= 4 and misses < 6:
             idx = rng.permutation(np.flatnonzero(left))
             cut = len(idx) * 2 // 3
             grow, prune = idx[:cut], idx[cut:]
-            if not (labels[grow] == kind).any():
-                break
-            rule, worth = _prune(_grow(x[grow], labels[grow] == kind), x[prune], labels[prune] == kind)
-            if not rule or worth < 0.5:
-                break
+            rule, worth = _prune(_grow(x[grow], labels[grow] == kind), x[prune], labels[prune] == kind) if (labels[grow] == kind).any() else ([], -1.0)
+            if not rule or worth < 0.8:  # another split of what is left may do better
+                misses += 1
+                continue
             rules.append((kind, rule))
             left &= ~_covers(rule, x)
         left &= labels != kind
@@ -292,4 +296,8 @@ def common_list(common_words: DataFrame) -> list[str]:
 
 def kinds(df: DataFrame, text: str, case: str, common: list[str]) -> DataFrame:
     """df's statistics with ``kind``: list, table, junk, or null for prose and blank texts."""
-    return with_statistics(df, text, common).withColumn("kind", F.expr(case))
+    x = with_statistics(df, text, common).withColumn("kind", F.expr(case))
+    # exact check: a list has three items, a table two rows
+    few = (F.col("n_lines") < 3) & (F.col("commas") * F.col("n_words") < 3) & (F.col("segment") > F.col("n_words") / 3)
+    flat = (F.col("n_lines") < 2) & (F.col("kind") == "table")
+    return x.withColumn("kind", F.when((F.col("kind") == "list") & few, None).when(flat, F.when(F.col("letters") < 0.2, "junk")).otherwise(F.col("kind")))
