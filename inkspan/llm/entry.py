@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import mail, pairs, quality
+from inkspan.llm import leak, mail, mix, pairs, quality, sample
 from inkspan.tables import table
 
 
@@ -55,9 +55,63 @@ def p6_text(spark: SparkSession, sf: str) -> DataFrame:
     return mails.select("mail_id").join(new, "mail_id", "left").select("mail_id", F.coalesce("new_text", F.lit("")).alias("new_text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p1_word_counts": p1_word_counts, "p5_found": p5_found, "p6_found": p6_found, "p6_text": p6_text}
+#: Size of the sample of posts.
+SAMPLE_SIZE = 5000
+
+
+def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """SAMPLE_SIZE posts, or all if there are fewer, each with the same chance."""
+    posts = table(spark, sf, "posts").select("post_id", "piece", "file", "text")
+    return sample.draw(posts, SAMPLE_SIZE, "post_id").select("post_id", "piece", "file", "text", "sample_key")
+
+
+def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """How many posts of each piece are in the sample, beside the piece's size."""
+    posts = table(spark, sf, "posts").select("post_id", "piece")
+    drawn = sample.draw(posts, SAMPLE_SIZE, "post_id").groupBy("piece").agg(F.count("*").alias("sampled"))
+    return posts.groupBy("piece").agg(F.count("*").alias("posts")).join(drawn, "piece", "left").select("piece", "posts", F.coalesce("sampled", F.lit(0)).alias("sampled"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that contain held-out passages and the items that leaked into each."""
+    return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Each leak with its coverage and its place."""
+    return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without the leaked stretches."""
+    return leak.without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen documents with their number of uses."""
+    targets = table(spark, sf, "mix_targets")
+    return mix.mix(mix.counted_documents(table(spark, sf, "documents"), targets), targets)
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share that each source really reached."""
+    targets = table(spark, sf, "mix_targets")
+    return mix.shares(mix.mix(mix.counted_documents(table(spark, sf, "documents"), targets), targets), targets)
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_statistics": p1_statistics, "p1_word_counts": p1_word_counts, "p5_found": p5_found, "p6_found": p6_found, "p6_text": p6_text,
+    "p7_sample": p7_sample, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares,
+}
+
+_KEYED = "SELECT post_id, piece, file, text, CAST(('0x' || substr(md5('42:' || CAST(post_id AS VARCHAR)), 1, 15)) AS BIGINT) AS sample_key FROM posts"
 
 ORACLES = {
+    "p7_sample": f"SELECT * FROM ({_KEYED}) ORDER BY sample_key, post_id LIMIT {SAMPLE_SIZE}",
+    "p7_pieces": f"""
+        SELECT p.piece, p.posts, coalesce(s.sampled, 0) AS sampled
+        FROM (SELECT piece, count(*) AS posts FROM posts GROUP BY piece) p
+        LEFT JOIN (SELECT piece, count(*) AS sampled FROM (SELECT * FROM ({_KEYED}) ORDER BY sample_key, post_id LIMIT {SAMPLE_SIZE}) GROUP BY piece) s ON p.piece = s.piece""",
     "p1_word_counts": r"""
         SELECT m.file, CAST(m.words AS BIGINT) AS noted,
                CAST(CASE WHEN t.text IS NULL THEN 0 ELSE len(list_filter(string_split_regex(t.text, '[\s\x0b\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')) END AS BIGINT) AS counted
