@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import leak, mail, mix, pairs, quality, sample
+from inkspan.llm import encoding, leak, mail, mix, pairs, pii, quality, sample
 from inkspan.tables import table
 
 
@@ -37,6 +37,23 @@ def p1_word_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _noted(spark, sf).select("file", F.col("words").cast("long").alias("noted"), F.col("n_words").cast("long").alias("counted"))
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    posts = table(spark, sf, "posts").select(F.lit("posts").alias("tbl"), F.col("post_id").cast("string").alias("rec"), F.lit("text").alias("field"), F.col("text").alias("body"))
+    human = table(spark, sf, "human_manifest").select("file", "source", "why_known_human").distinct()
+    human = human.select(F.lit("human_manifest").alias("tbl"), F.col("file").alias("rec"), F.expr("stack(2, 'source', source, 'why_known_human', why_known_human) as (field, body)"))
+    return posts.unionByName(human).where("body is not null")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The records with characters that came out wrong by a wrong decoding."""
+    return encoding.garbled(_bodies(spark, sf))[0].select("tbl", "rec").distinct()
+
+
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The affected fields as their author wrote them; ``whole`` is false where something stays lost."""
+    return encoding.restore(_bodies(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every broken prompt and response pair with its defect."""
     both = table(spark, sf, "ai_manifest").select("file", "prompt").where("file is not null").groupBy("file").agg(F.min("prompt").alias("prompt"))
@@ -99,9 +116,23 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.shares(mix.mix(mix.counted_documents(table(spark, sf, "documents"), targets), targets), targets)
 
 
+def _names(spark: SparkSession, sf: str):
+    return pii.learn_names(table(spark, sf, "documents").select("text"), table(spark, sf, "given_names"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """E-mail addresses, phone and identity numbers, street addresses and names of persons in the documents."""
+    return pii.findings(table(spark, sf, "documents"), _names(spark, sf))
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with a typed placeholder for each place."""
+    return pii.redacted(table(spark, sf, "documents"), _names(spark, sf))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_statistics": p1_statistics, "p1_word_counts": p1_word_counts, "p5_found": p5_found, "p6_found": p6_found, "p6_text": p6_text,
-    "p7_sample": p7_sample, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p1_found": p1_found, "p1_statistics": p1_statistics, "p1_word_counts": p1_word_counts, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_text": p6_text,
+    "p7_sample": p7_sample, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 _KEYED = "SELECT post_id, piece, file, text, CAST(('0x' || substr(md5('42:' || CAST(post_id AS VARCHAR)), 1, 15)) AS BIGINT) AS sample_key FROM posts"

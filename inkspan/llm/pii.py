@@ -82,16 +82,16 @@ _CAP = r"[A-ZÀ-ÖØ-Þ][\wà-öø-ÿ’'-]*"
 _EN = r"(?:Street|Road|Lane|Avenue|Drive|Crescent|Hill|Row|Close|Court|Place|Square|Terrace|Way|Walk|Gardens|Grove|Mews|Parade|Boulevard|Alley|Quay|Yard|Rise|Green|View|Bank|Hollow|St\.|Rd\.?|Ave\.?|Ln\.?|Dr\.|Blvd\.?)"
 _ADDRESS = re.compile(
     rf"(?<![\w#/.,-])\d{{1,5}}[A-Za-z]?,? (?:{_CAP} ){{1,3}}{_EN}(?![\w-])(?! (?:Festival|Choir|Press|Books))"
-    rf"|(?<![\w#/.,-])\d{{1,5}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Cc]hemin|[Ii]mpasse|[Pp]lace|[Bb]oulevard|[Qq]uai|[Aa]llée|[Rr]oute|[Pp]assage|[Cc]ours|[Ss]quare)(?: (?:de la |de l['’]|du |des |de |d['’]|la |le |les )?{_CAP}){{1,3}}"
+    rf"|(?<![\w#/.,-])\d{{1,5}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Cc]hemin|[Ii]mpasse|[Pp]lace|[Bb]oulevard|[Qq]uai|[Aa]llée|[Rr]oute|[Pp]assage|[Cc]ours|[Ss]quare)(?: (?:de la |de l['’]|du |des |de |d['’]|la |le |les )?{_CAP})(?:(?! (?:Tél|Tel|Mail|Courriel|Fax|Adresse)) {_CAP}(?=[.,;:!?\n)]|$))?"
     rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Camino|Ronda|Travesía|Callejón|Carrera|Glorieta|C/|Avda\.?)(?: (?:de la|de las|de los|del|de))?(?: {_CAP}){{1,3}},? (?:n\.?º ?)?\d{{1,5}}(?: ?(?:bis|[A-D]))?(?![\w/.-]\d|\w)"
     rf"|(?<!\w){_CAP}(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm|ring|steig|pfad|markt|chaussee|hof|graben|stieg) \d{{1,5}} ?[a-dA-D]?(?![\w/.-]\d|\w)"
     rf"|(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Zum|Zur|Im|In der|Unter den|Alte|Alter|Neue|Neuer|Lange|Kleine|Große|Obere|Untere) (?:{_CAP}[ -]){{0,2}}{_CAP} \d{{1,5}} ?[a-dA-D]?(?![\w/.-]\d|\w)"
 )
-_PARTICLE = r"(?:de la|de los|de las|de|del|von der|von|van der|van|zu|di|da|du|la|le)"
+_PARTICLE = r"(?:Van der|Von der|Van|Von|De la|De|de la|de los|de las|de|del|von der|von|van der|van|zu|di|da|du|la|le)"
 _GIVEN = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _FAMILY = rf"(?:{_PARTICLE} )?(?:[OD]['’])?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _NAME = re.compile(rf"(?=(?<![\w’'-])({_GIVEN})[  ](?:[A-ZÀ-ÖØ-Þ]\.[  ])?({_FAMILY})(?![\w-]))")
-_SHOUT = re.compile(r"(?=(?<![\w’'-])([A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)[  ](?:[A-ZÀ-ÖØ-Þ]\.[  ])?((?:(?:DE LA|DE|VON|VAN|DEL) )?(?:O['’])?[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)(?![\w-]))")
+_SHOUT = re.compile(r"(?=(?<![\w’'-])([A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)[  ](?:[A-ZÀ-ÖØ-Þ]\.[  ])?((?:(?:DE LA|DE|VON DER|VAN DER|VON|VAN|DEL) )?(?:O['’])?[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)(?![\w-]))")
 # Titles, which are no given names.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "frau", "herr", "mme", "m", "mlle", "madame", "monsieur", "señor", "señora", "sr", "sra", "don", "doña", "dear", "hi", "hello", "liebe", "lieber", "chère", "cher", "querida", "querido", "contact", "photo", "merci", "danke", "thanks", "gracias"}
 
@@ -182,7 +182,7 @@ def find(text: str, givens: frozenset[str], families: frozenset[str]) -> list[tu
 
 
 def _title(s: str) -> str:
-    return re.sub(r"\b(De La|De|Von|Van|Del)\b", lambda m: m.group().lower(), re.sub(r"[^\W\d_]+", lambda m: m.group().capitalize(), s))
+    return re.sub(r"\b(De La|De|Del)\b|(?<=Van )Der|(?<=Von )Der", lambda m: m.group().lower(), re.sub(r"[^\W\d_]+", lambda m: m.group().capitalize(), s))
 
 
 def _number_type(s: str, a: int, b: int, kind: str) -> str:
