@@ -26,9 +26,9 @@ from inkspan.tables import cut
 LOST = "�"
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "iso8859-15")
 #: How many times more frequent a reading must be that has no other evidence, and its least count.
-RATIO, LEAST = 20, 5
+RATIO, LEAST = 20, 5  # a word with three plain letters is evidence enough for 4 and 3
 # Characters that texts in English, French, German and Spanish hold.
-NORMAL = frozenset("áéíóúñüÁÉÍÓÚÑÜäößÄÖẞàâæçèéêëîïôœùûÿÀÂÆÇÈÉÊËÎÏÔŒÙÛŸ’‘“”„‚‹›«»—–…€£°·•¿¡ºª§©®™×½¼²³  ­​")
+NORMAL = frozenset("áéíóúñüÁÉÍÓÚÑÜäößÄÖẞàâæçèéêëîïôœùûÿÀÂÆÇÈÉÊËÎÏÔŒÙÛŸ’‘“”„‚‹›«»—–…€£°·•¿¡ºª§©®™×½¼²³\u00a0\u202f\u00ad\u200b")
 
 _ENCODE: dict[str, dict[str, int]] = {}
 for _codec in WRONG:
@@ -106,6 +106,16 @@ def viterbi(b: list[int | None]) -> str | None:
     return "".join(reversed(out))
 
 
+def _run(run: str, codec: str) -> str:
+    for _ in range(3):
+        b = to_bytes(run, codec)
+        got = None if b is None or None in b else viterbi(b)
+        if got is None or got == run:
+            break
+        run = got
+    return run
+
+
 def readings(word: str) -> set[tuple[str, str]]:
     """(reading, kind) of a word: kind utf8, bytes (one single-byte code read as another) or lost."""
     out: set[tuple[str, str]] = set()
@@ -124,6 +134,10 @@ def readings(word: str) -> set[tuple[str, str]]:
                 break
             if all(c.isascii() or c in NORMAL for c in got):
                 out.add((got, "utf8"))
+        # runs of other characters one by one: parts of a word may be sound
+        mixed = re.sub(r"[^\x00-\x7f]+", lambda m, c=codec: _run(m.group(), c), word)
+        if mixed != word and all(c.isascii() or c in NORMAL for c in mixed):
+            out.add((mixed, "utf8"))
         if LOST not in word and codec not in ("cp1252", "latin-1", "iso8859-15"):
             b = to_bytes(word, codec)
             if b is not None:
@@ -166,7 +180,8 @@ def fixes(words: DataFrame) -> DataFrame:
     much = F.coalesce("m", F.lit(0))
     # a reading of only ASCII characters needs no word: it is what the bytes hold
     strong = (F.col("kind") == "utf8") & ~alone
-    sure = exact.where(strong | ((much >= LEAST) & (much >= RATIO * F.col("n"))))
+    letters = F.length(F.regexp_replace("token", "[^A-Za-z]", "")) >= 3
+    sure = exact.where(strong | (letters & (much >= 3) & (much >= 4 * F.col("n"))) | ((much >= LEAST) & (much >= RATIO * F.col("n"))))
     best = sure.groupBy("token").agg(F.max_by("reading", F.struct(F.when(F.col("kind") == "utf8", 1).otherwise(0), much, F.col("reading"))).alias("fixed"))
     shapes = known.where(F.length("_low") > 1).withColumn("_shape", _shape(F.col("_low")))
     lost = cands.where("kind = 'lost'").withColumn("_shape", _shape(F.col("reading"))).join(shapes, "_shape", "left")

@@ -27,7 +27,6 @@ ITEMS = 50_000
 COVERAGE, EDIT, SEED = 0.3, 8, 3
 
 _TOKEN = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|\w+(?:-\n\w+)?")
-_DROP = re.compile("[­​-‏⁠﻿]")
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:

@@ -25,7 +25,7 @@ from inkspan.tables import bounded_rows
 TRAIN_PAIRS = 1200
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_MARKUP = re.compile(r"<[^>]*>|&[a-z]+;|[​﻿]")
+_MARKUP = re.compile("<[^>]*>|&[a-z]+;|[\u200b\ufeff]")
 _ASK = {
     "de": re.compile(r"(?i)\b(in german|only german|german only|auf deutsch|de version|en allemand|en alemán|answer in german)\b"),
     "fr": re.compile(r"(?i)\b(in french|only french|french only|auf französisch|fr version|en français|en francés)\b"),
@@ -119,7 +119,7 @@ def features(prompt: str | None, text: str, langs: Languages, known: frozenset[i
     refusal = {"short": short, "bias": 1.0, "inprompt": mine}
     for a, b in zip(["^", *ws[:40]], ws[:40]):
         refusal["h:" + b] = refusal["h:" + a + " " + b] = 1 - short
-    t = text.rstrip().rstrip("​")
+    t = text.rstrip().rstrip("\u200b")
     tail = re.sub(r"[^\w]+$", "", t)
     line = t.rsplit("\n", 1)[-1]
     last = words(line[-120:])[-4:]

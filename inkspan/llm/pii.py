@@ -38,7 +38,7 @@ _SPELLED = {
 _DIGIT = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[ ,-]+(?:{_DIGIT})){{6,}}(?!\w)")
 _SPELLED_ONE = re.compile(rf"(?i){_DIGIT}")
-_INVISIBLE = set("­​‌‍⁠﻿")
+_INVISIBLE = set("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 
 _TLD = r"(?:example|test|invalid|localhost|com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|ch|at|be|it|nl)"
 _AT = r"\s?(?:[(\[{<]\s?(?:at|@|arobase|arroba|ät|a)\s?[)\]}>])\s?"
@@ -90,8 +90,8 @@ _ADDRESS = re.compile(
 _PARTICLE = r"(?:Van der|Von der|Van|Von|De la|De|de la|de los|de las|de|del|von der|von|van der|van|zu|di|da|du|la|le)"
 _GIVEN = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _FAMILY = rf"(?:{_PARTICLE} )?(?:[OD]['’])?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
-_NAME = re.compile(rf"(?=(?<![\w’'-])({_GIVEN})[  ](?:[A-ZÀ-ÖØ-Þ]\.[  ])?({_FAMILY})(?![\w-]))")
-_SHOUT = re.compile(r"(?=(?<![\w’'-])([A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)[  ](?:[A-ZÀ-ÖØ-Þ]\.[  ])?((?:(?:DE LA|DE|VON DER|VAN DER|VON|VAN|DEL) )?(?:O['’])?[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)(?![\w-]))")
+_NAME = re.compile(rf"(?=(?<![\w’'-])({_GIVEN}) (?:[A-ZÀ-ÖØ-Þ]\. )?({_FAMILY})(?![\w-]))")
+_SHOUT = re.compile(r"(?=(?<![\w’'-])([A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?) (?:[A-ZÀ-ÖØ-Þ]\. )?((?:(?:DE LA|DE|VON DER|VAN DER|VON|VAN|DEL) )?(?:O['’])?[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]+)?)(?![\w-]))")
 # Titles, which are no given names.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "frau", "herr", "mme", "m", "mlle", "madame", "monsieur", "señor", "señora", "sr", "sra", "don", "doña", "dear", "hi", "hello", "liebe", "lieber", "chère", "cher", "querida", "querido", "contact", "photo", "merci", "danke", "thanks", "gracias"}
 
@@ -119,7 +119,7 @@ def normalise(text: str) -> tuple[str, list[int]]:
         for i, c in enumerate(text):
             if c in _INVISIBLE:
                 continue
-            if c == " " or c == " " or " " <= c <= " ":
+            if c in "\u00a0\u202f" or "\u2000" <= c <= "\u200a":
                 c = " "
             elif c in _ALIKE:
                 c = _ALIKE[c]
@@ -209,7 +209,7 @@ def _number_type(s: str, a: int, b: int, kind: str) -> str:
 def learn_names(docs: DataFrame, given_names: DataFrame, text: str = "text") -> tuple[frozenset[str], frozenset[str]]:
     """Given and family names: the listed ones, and those that the whole corpus shows beside each other."""
     listed = [r[0] for r in bounded_rows(given_names.where("given_name is not null").select("given_name").distinct(), NAMES, "given names")]
-    pair = rf"(?<![\p{{L}}’'-])({_GIVEN})[  ](?:[A-ZÀ-ÖØ-Þ]\.[  ])?({_FAMILY})(?![\p{{L}}-])".replace(r" ", " ")
+    pair = rf"(?<![\p{{L}}’'-])({_GIVEN})[ \u00a0](?:[A-ZÀ-ÖØ-Þ]\.[ \u00a0])?({_FAMILY})(?![\p{{L}}-])"
     # a word may end one pair and begin the next: read the text again from each second word
     found = F.concat(F.regexp_extract_all(text, F.lit(pair), F.lit(0)), F.regexp_extract_all(F.regexp_replace(text, rf"(?<![\p{{L}}])({_GIVEN})[ ](?={_GIVEN} (?:[A-ZÀ-Þ]\. )?{_FAMILY})", "$1  "), F.lit(pair), F.lit(0)))
     both = docs.where(F.col(text).isNotNull()).select(F.explode(found).alias("p"))
