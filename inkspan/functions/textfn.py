@@ -5,6 +5,8 @@ Every function takes and gives a Column. Lengths and offsets are code points.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,13 @@ def dialect(pattern: str, java: bool) -> str:
             if e == "s":
                 out.append(WS_SET if depth else WS)
             elif e == "b" and not depth and java:
-                out.append(BOUNDARY)
+                before, after = pattern[:i], pattern[i + 2 :]
+                if re.match(r"(?:\(\?:)?(?:[A-Za-z]|\\w|\[A-Z\])", after) and not re.match(r"\(\?:[^()]*\)\?", after):
+                    out.append("(?<![A-Za-z0-9_])")  # a letter follows, so one side is enough
+                elif re.search(r"(?:[A-Za-z]|[a-z]\)|[a-z]\)\?\))$", before) and not before.endswith("?s?)"):
+                    out.append("(?![A-Za-z0-9_])")
+                else:
+                    out.append(BOUNDARY)
             else:
                 out.append(c + e)
             i += 2

@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions import textfn as T
-from inkspan.operators.rules import EM_DASH_RULE, RULES, Rule
+from inkspan.operators.rules import EM_DASH_RULE, RULES
 
 HIT_CAP, DASH_WORDS = 400, 200
 SPAN = "struct<start:int,end:int,ord:int,rule_id:string,sev:int>"
 
 
-def spans(t: Column, pattern: str, ord_: int, rule_id: str, sev: int) -> Column:
-    """Array of spans [start, end) of a pattern that never matches nothing."""
-    parts, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+def matches(t: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+
+
+def spans(t: Column, pattern: str, hits: Column, ord_: int, rule_id: str, sev: int) -> Column:
+    """Array of spans [start, end) of a pattern that never matches nothing; ``hits``: its matches. Texts without any are not split."""
+    parts = F.when(F.size(hits) > 0, F.split(t, pattern, -1)).otherwise(F.expr("cast(array() as array<string>)"))
     pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.size(hits)).alias("part"), hits.alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
@@ -31,10 +35,6 @@ def spans(t: Column, pattern: str, ord_: int, rule_id: str, sev: int) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def rule_spans(straight: Column, i: int, rule: Rule) -> Column:
-    return spans(straight, rule.java(), i, rule.id, rule.sev)
-
-
 def dash_flag(t: Column, words: Column) -> Column:
     """Whether a text has more em dashes than one in DASH_WORDS words, and than one at all."""
     return T.em_dash_count(t) > F.greatest(F.lit(1), F.floor(words / DASH_WORDS))
@@ -43,7 +43,8 @@ def dash_flag(t: Column, words: Column) -> Column:
 def with_hits(drafts: DataFrame, text: str = "text") -> DataFrame:
     """Adds words, straight and hits: the spans of every rule within the cap, and of all dashes once there are too many."""
     x = drafts.withColumn("words", T.word_count(F.col(text))).withColumn("straight", T.straighten(F.col(text)))
-    x = x.withColumns({f"_h{i}": rule_spans(F.col("straight"), i, r) for i, r in enumerate(RULES)})
+    x = x.withColumns({f"_m{i}": matches(F.col("straight"), r.java()) for i, r in enumerate(RULES)} | {"_md": matches(F.col(text), T.EM_DASH)})
+    x = x.withColumns({f"_h{i}": spans(F.col("straight"), r.java(), F.col(f"_m{i}"), i, r.id, r.sev) for i, r in enumerate(RULES)})
     before, kept = F.lit(0), []
     for i in range(len(RULES)):
         h = F.col(f"_h{i}")
@@ -51,8 +52,8 @@ def with_hits(drafts: DataFrame, text: str = "text") -> DataFrame:
         kept.append(F.slice(h, F.lit(1), F.greatest(F.least(F.size(h), room), F.lit(0))))
         before = before + F.size(h)
     n = len(RULES)
-    dashes = F.when(dash_flag(F.col(text), F.col("words")), spans(F.col(text), T.EM_DASH, n, EM_DASH_RULE[0], EM_DASH_RULE[2])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
-    return x.withColumn("hits", F.concat(*kept, dashes)).drop(*[f"_h{i}" for i in range(n)])
+    dashes = F.when(dash_flag(F.col(text), F.col("words")), spans(F.col(text), T.EM_DASH, F.col("_md"), n, EM_DASH_RULE[0], EM_DASH_RULE[2])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    return x.withColumn("hits", F.concat(*kept, dashes)).drop("_md", *[f"_{k}{i}" for i in range(n) for k in "hm"])
 
 
 def kept(hits: Column) -> Column:

@@ -9,7 +9,7 @@ from inkspan.functions import textfn as T
 from inkspan.operators import collect, study
 from inkspan.operators import rules as R
 from inkspan.plans.drafts import WITH, drafts, q, s_clean, s_collapse, s_count, s_cv, s_dashes, s_lengths, s_straight, s_trim, s_words
-from inkspan.tables import table
+from inkspan.tables import spread, table
 
 Q: dict = {}
 S: dict = {}
@@ -78,7 +78,7 @@ BEFORE = "2018-01-01"
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "posts").select(F.col("post_id").alias("pos"), "file", "date", "text")
+    return spread(table(spark, sf, "posts").select(F.col("post_id").alias("pos"), "file", "date", "text"))
 
 
 def _considered(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import textfn as T
 from inkspan.operators import checker, fixer
 from inkspan.operators import rules as R
-from inkspan.tables import table
+from inkspan.tables import spread, table
 
 SNIPPETS = [
     "It isn't just a chart, it's a habit. She said it’s not merely late, but missing.",
@@ -52,7 +52,7 @@ def snippet(doc_id) -> F.Column:
 
 
 def drafts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text is not null")
+    d = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "arm", "source", "text"))
     return d.select("doc_id", F.coalesce("arm", F.lit("none")).alias("arm"), F.concat("text", F.lit(" "), snippet(F.col("doc_id"))).alias("text"))
 
 

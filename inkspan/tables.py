@@ -38,3 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder}/inkspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over every core if its files make fewer partitions than there are cores; as it is otherwise, so never a shuffle on large input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
