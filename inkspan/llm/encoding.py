@@ -144,6 +144,8 @@ def readings(word: str) -> set[tuple[str, str]]:
                 got = bytes(b).decode("cp1252", "replace")
                 if LOST not in got and got != word and all(c.isascii() or c in NORMAL for c in got):
                     out.add((got, "bytes"))
+    if "??" in word and word.isascii():  # each lost byte was written as a question mark
+        out.add((re.sub(r"\?{2,3}", "*", word), "lost"))
     if LOST in word:
         out.add((re.sub(LOST, "*", word), "lost"))
     if len(word) > 2 and word.endswith("Ã"):  # its second byte was a no-break space and got lost
@@ -154,10 +156,16 @@ def readings(word: str) -> set[tuple[str, str]]:
 _EDGE = r"""^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$"""
 
 
+_MARKS = r"[A-Za-z0-9]\?{2,3}|\?{2,3}[A-Za-z0-9]"
+
+
 def tokens(text: Column) -> Column:
-    """The words with a non-ASCII character: without ASCII marks around them, digits as 0."""
+    """The words with a non-ASCII character, or with question marks for one: without ASCII marks around them, digits as 0."""
     found = F.regexp_extract_all(text, F.lit(r"([^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, _EDGE, ""), r"\d", "0")))
+    plain = F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, _EDGE, ""), r"\d", "0"))
+    marked = F.regexp_extract_all(text, F.lit(r"((?<![^\x00-\x20(\"'])[A-Za-z0-9'-]*\?{2,3}[A-Za-z0-9'?-]*[A-Za-z0-9?])"), F.lit(1))
+    marked = F.filter(F.transform(marked, lambda w: F.regexp_replace(w, r"\d", "0")), lambda w: w.rlike(_MARKS))
+    return F.array_distinct(F.when(text.rlike(_MARKS), F.concat(plain, marked)).otherwise(plain))
 
 
 def _shape(c: Column) -> Column:
@@ -174,7 +182,7 @@ def fixes(words: DataFrame) -> DataFrame:
 
     cands = words.select("token").mapInPandas(run, "token string, reading string, kind string")
     alone = F.col("token").rlike(r"^[^A-Za-z0]*$")
-    known = words.where(~F.col("token").contains(LOST)).groupBy(F.lower("token").alias("_low")).agg(F.sum("n").alias("m"), F.max_by("token", F.struct("n", "token")).alias("_form"))
+    known = words.where(~F.col("token").contains(LOST)).groupBy(F.lower("token").alias("_low")).agg(F.sum("n").alias("m"))
     own = words.select("token", "n")
     exact = cands.where("kind <> 'lost'").withColumn("_low", F.lower("reading")).join(known, "_low", "left").join(own, "token")
     much = F.coalesce("m", F.lit(0))
@@ -183,8 +191,10 @@ def fixes(words: DataFrame) -> DataFrame:
     letters = F.length(F.regexp_replace("token", "[^A-Za-z]", "")) >= 3
     sure = exact.where(strong | (letters & (much >= 3) & (much >= 4 * F.col("n"))) | ((much >= LEAST) & (much >= RATIO * F.col("n"))))
     best = sure.groupBy("token").agg(F.max_by("reading", F.struct(F.when(F.col("kind") == "utf8", 1).otherwise(0), much, F.col("reading"))).alias("fixed"))
-    shapes = known.where(F.length("_low") > 1).withColumn("_shape", _shape(F.col("_low")))
+    sound = words.where(~F.col("token").contains(LOST)).join(best.select("token"), "token", "left_anti")  # what is garbled itself restores nothing
+    shapes = sound.groupBy(F.lower("token").alias("_low")).agg(F.sum("n").alias("m"), F.max_by("token", F.struct("n", "token")).alias("_form")).where(F.length("_low") > 1).withColumn("_shape", _shape(F.col("_low")))
     lost = cands.where("kind = 'lost'").withColumn("_shape", _shape(F.col("reading"))).join(shapes, "_shape", "left")
+    lost = lost.where(F.col("token").contains(LOST) | ~F.col("token").contains("??") | (F.col("m") >= 3))
     fits = F.col("_low").isNotNull() & F.lower("reading").rlike(r"^[\x00-\x7f]*$") | F.col("_low").isNull()
     lost = lost.where(fits).groupBy("token").agg(F.max_by(F.struct("_low", "_form"), F.struct(F.coalesce("m", F.lit(0)), F.coalesce("_low", F.lit("")))).alias("_w"), F.max("reading").alias("reading"))
     lost = lost.withColumn("fixed", F.when(F.col("reading").startswith("*"), F.col("_w._form")).otherwise(_cased(F.col("reading"), F.col("_w._low")))).where(F.col("token").contains(LOST) | F.col("fixed").isNotNull())
@@ -201,7 +211,7 @@ def _cased(pattern: Column, word: Column) -> Column:
 
 def garbled(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(record, token, fixed) of the garbled words of ``records`` (tbl, rec, field, body), and all their words."""
-    words = records.where(F.col("body").rlike(r"[^\x00-\x7f]")).select("tbl", "rec", "field", F.explode(tokens(F.col("body"))).alias("token")).where("token <> ''")
+    words = records.where(F.col("body").rlike(r"[^\x00-\x7f]|" + _MARKS)).select("tbl", "rec", "field", F.explode(tokens(F.col("body"))).alias("token")).where("token <> ''")
     counts = cut(words.groupBy("token").agg(F.count("*").alias("n")))
     bad = cut(fixes(counts))
     return words.join(bad, "token"), bad
