@@ -165,7 +165,7 @@ def tokens(text: Column) -> Column:
     plain = F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, _EDGE, ""), r"\d", "0"))
     marked = F.regexp_extract_all(text, F.lit(r"((?<![^\x00-\x20(\"'])[A-Za-z0-9'-]*\?{2,3}[A-Za-z0-9'?-]*[A-Za-z0-9?])"), F.lit(1))
     marked = F.filter(F.transform(marked, lambda w: F.regexp_replace(w, r"\d", "0")), lambda w: w.rlike(_MARKS))
-    return F.array_distinct(F.when(text.rlike(_MARKS), F.concat(plain, marked)).otherwise(plain))
+    return F.array_distinct(F.when(F.contains(text, F.lit("??")), F.concat(plain, marked)).otherwise(plain))
 
 
 def _shape(c: Column) -> Column:
@@ -211,7 +211,7 @@ def _cased(pattern: Column, word: Column) -> Column:
 
 def garbled(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(record, token, fixed) of the garbled words of ``records`` (tbl, rec, field, body), and all their words."""
-    words = records.where(F.col("body").rlike(r"[^\x00-\x7f]|" + _MARKS)).select("tbl", "rec", "field", F.explode(tokens(F.col("body"))).alias("token")).where("token <> ''")
+    words = records.where(F.col("body").rlike(r"[^\x00-\x7f]") | F.contains("body", F.lit("??"))).select("tbl", "rec", "field", F.explode(tokens(F.col("body"))).alias("token")).where("token <> ''")
     counts = cut(words.groupBy("token").agg(F.count("*").alias("n")))
     bad = cut(fixes(counts))
     return words.join(bad, "token"), bad
