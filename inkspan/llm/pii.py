@@ -40,10 +40,14 @@ _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[ ,-]+(?:{_DIGIT})){{6,}}
 _SPELLED_ONE = re.compile(rf"(?i){_DIGIT}")
 _INVISIBLE = set("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 
+_SPECIAL = re.compile("[" + "".join(_ALIKE) + "".join(_INVISIBLE) + "\u00a0\u202f\u2000-\u200a\uff01-\uff5e\u2010-\u2013\u2212]")
+
 _TLD = r"(?:example|test|invalid|localhost|com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|ch|at|be|it|nl)"
 _AT = r"\s?(?:[(\[{<]\s?(?:at|@|arobase|arroba|ät|a)\s?[)\]}>])\s?"
 _DOT = r"\s?(?:[(\[{<]\s?(?:dot|punkt|point|punto|\.)\s?[)\]}>])\s?"
 _DISGUISED = re.compile(rf"(?i)(?<![\w.+-])[\w.+-]{{1,64}}{_AT}[\w-]+(?:(?:{_DOT}|\.)[\w-]+)+|(?<![\w.+-])[\w.+-]{{1,64}} (?-i:AT|aROBASE|AROBASE|ARROBA) [\w-]+(?:(?: (?-i:DOT|PUNKT|POINT|PUNTO) |\.)[\w-]+)+|(?<![\w.+-])[\w.+-]{{1,64}} (?:at|arobase|arroba) [\w-]+(?: (?:dot|punkt|point|punto) [\w-]+)* (?:dot|punkt|point|punto) {_TLD}(?!\w)|(?<![\w.+-])[\w.+-]{{1,64}} ?@ ?[\w-]+(?: ?\. ?[\w-]+)*? ?\. ?{_TLD}(?!\w)")
+#: Without any of these no address is in disguise; they are looked for first, since the pattern above is slow.
+_HINT = re.compile(r"[(\[{<]\s?(?:[Aa][Tt]|[Aa]|[Ää][Tt]|[Aa]robase|[Aa]rroba|AROBASE|ARROBA)\s?[)\]}>]| (?:AT|AROBASE|ARROBA|[Dd]ot|DOT|[Pp]unkt|[Pp]unto|[Pp]oint) ")
 _PART = re.compile(rf"(?i)(?P<at>{_AT}| (?:at|arobase|arroba) | ?@ ?)|(?P<dot>{_DOT}| (?:dot|punkt|point|punto) | ?\. ?)")
 
 _EMAIL = re.compile(r"(?i)(?<![\w.+%-])[a-z0-9À-ÿ_](?:[\w.+%-]{0,62}[\wÀ-ÿ+-])?@(?:[a-z0-9À-ÿ](?:[\w-]*[a-z0-9À-ÿ])?\.)+[a-z]{2,18}(?![\w@])")
@@ -112,7 +116,7 @@ def _emit(text: str, at: list[int], spans: list[tuple[int, int, str]]) -> tuple[
 
 def normalise(text: str) -> tuple[str, list[int]]:
     """The normal form and the source offset of each of its characters, with the source length at the end."""
-    if text.isascii():
+    if text.isascii() or not _SPECIAL.search(text):
         s, at = text, list(range(len(text) + 1))
     else:
         chars, at = [], []
@@ -131,7 +135,8 @@ def normalise(text: str) -> tuple[str, list[int]]:
             at.append(i)
         s = "".join(chars)
         at.append(len(text))
-    spans = [(m.start() + k.start(), m.start() + k.end(), str(_SPELLED[k.group().lower()])) for m in _SPELLED_RUN.finditer(s) for k in _SPELLED_ONE.finditer(m.group())]
+    few = sum(w in _SPELLED for w in re.split(r"[\s,-]+", s.lower())) < 7
+    spans = [] if few else [(m.start() + k.start(), m.start() + k.end(), str(_SPELLED[k.group().lower()])) for m in _SPELLED_RUN.finditer(s) for k in _SPELLED_ONE.finditer(m.group())]
     if spans:  # drop what stands between spelled digits, too
         joined: list[tuple[int, int, str]] = []
         for a, b, d in spans:
@@ -139,7 +144,7 @@ def normalise(text: str) -> tuple[str, list[int]]:
                 a = joined[-1][1]
             joined.append((a, b, d))
         s, at = _emit(s, at, joined)
-    if "@" in s or re.search(r"(?i)\b(at|arobase|arroba|ät)\b|\(a\)", s):
+    if "@" in s or _HINT.search(s):
         spans = []
         for m in _DISGUISED.finditer(s):
             for k in _PART.finditer(m.group()):
