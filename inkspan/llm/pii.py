@@ -5,8 +5,9 @@ digits, "(at)" and "(dot)" disguises) and keeps for every character the place it
 normal form; their spans are mapped back, so what is reported and replaced are source characters.
 
 Names are a given and a family name together. Family names are learnt from the whole corpus: capitalised words that
-follow several listed given names; given names that precede several learnt family names are added, since the list is incomplete. A listed
-name that is also an ordinary word ("Frank Talk") is thus no name before a word that is no family name.
+follow a listed given name in a fair share of their uses, more often as persons are named than as things are ("Frank Talk is a column",
+"Dawn Street Choir"); given names that mostly precede learnt family names are added, since the list is incomplete. Every
+limit is a ratio, so one mention is enough and a larger corpus changes no document's result by its size.
 
 Defined results: null and empty texts have no finding and stay as they are; a longer finding wins over one it overlaps, then the earlier
 type; a string found twice is reported once a document but replaced everywhere; texts are read whole.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from inkspan.tables import bounded_rows, cut
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-#: Most learnt names held in memory; distinct partners that make a name.
-NAMES, PARTNERS = 200_000, 3
+#: Most learnt names held in memory; of so many capitalised uses of a family name, one at least follows a given name.
+NAMES, NAME_LIKE = 200_000, 5
 
 # Look-alikes of Latin letters, and digits as words.
 _ALIKE = dict(zip("аеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТУХ", "aeopcyxijsdhqwABEZHIKMNOPTYXABEKMHOPCTYX"))
@@ -211,21 +213,69 @@ def _number_type(s: str, a: int, b: int, kind: str) -> str:
     return "phone" if re.fullmatch(r"[6-9]\d0000\d{3}|[678]\d{8}", digits) else "id_number"
 
 
+#: What stands before a name and not before a sentence's first words: a word in lower case, a comma, a label, a title with a point.
+_INSIDE = re.compile(r"(?:[a-zß-öø-ÿ]|[,;:]|\b(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra)\.)\s?$")
+_ARTICLE = re.compile(r"(?i)(?<!\w)(?:the|an?|der|die|das|den|dem|ein|eine|la|le|les|une?|el|los|las|una)\s$")
+#: What follows a title or a thing: a further capitalised word, or what it is.
+_THING = re.compile(r" [A-ZÀ-ÖØ-Þ]| (?:is|was|ist|war|est|était|es|era) (?:an?|the|eine?|der|die|das|une?|le|la|el|una?)\b")
+_INITIAL = re.compile(r" [A-ZÀ-ÖØ-Þ]\. ")
+_TRIM = re.compile(r"^[^\w]+|(?:['’]s)?[^\w]+$|['’]s$")
+
+
+def _evidence(text: str, listed: frozenset[str]) -> tuple[set[tuple[str, str, int]], set[tuple[str, int]]]:
+    """(given, family, 1: inside a sentence, 0: elsewhere, -1: as a thing is named) of the pairs of a text, and (word, 1: capitalised, 0: lower case) of its words outside names."""
+    text = text.replace("\u00a0", " ").replace("\u202f", " ").replace("’", "'")
+    pairs = set()
+    for m in _NAME.finditer(text):
+        a, e = m.start(1), m.end(2)
+        before, after = text[max(0, a - 12) : a], text[e : e + 24]
+        the = _ARTICLE.search(before) is not None
+        inside = _INITIAL.search(text[a:e]) is not None or (_INSIDE.search(before) is not None and not the)
+        pairs.add((m.group(1), m.group(2), 1 if inside else -1 if the or _THING.match(after) else 0))
+    words, raw = set(), text.split()
+    bare = [w if w.isalpha() else "" if "@" in w else _TRIM.sub("", w) for w in raw]
+    for k, w in enumerate(bare):
+        if not w or (k and bare[k - 1].lower() in TITLES) or (raw[k][-1] == "," and k + 1 < len(bare) and bare[k + 1] in listed):
+            continue  # "Mrs Harrowgill" and "Harrowgill, Rafe" are uses of a name
+        words.add((w, 1) if w[0].isupper() else (w[:1].upper() + w[1:], 0))
+    return pairs, words
+
+
 def learn_names(docs: DataFrame, given_names: DataFrame, text: str = "text") -> tuple[frozenset[str], frozenset[str]]:
-    """Given and family names: the listed ones, and those that the whole corpus shows beside each other."""
+    """Given and family names: the listed ones, and those that the whole corpus shows beside each other.
+
+    All evidence is a ratio of documents, so it does not depend on how many there are.
+    """
     listed = [r[0] for r in bounded_rows(given_names.where("given_name is not null").select("given_name").distinct(), NAMES, "given names")]
-    pair = rf"(?<![\p{{L}}’'-])({_GIVEN})[ \u00a0](?:[A-ZÀ-ÖØ-Þ]\.[ \u00a0])?({_FAMILY})(?![\p{{L}}-])"
-    # a word may end one pair and begin the next: read the text again from each second word
-    found = F.concat(F.regexp_extract_all(text, F.lit(pair), F.lit(0)), F.regexp_extract_all(F.regexp_replace(text, rf"(?<![\p{{L}}])({_GIVEN})[ ](?={_GIVEN} (?:[A-ZÀ-Þ]\. )?{_FAMILY})", "$1  "), F.lit(pair), F.lit(0)))
-    both = docs.where(F.col(text).isNotNull()).select(F.explode(found).alias("p"))
-    both = both.select(F.regexp_extract("p", "^" + pair, 1).alias("g"), F.regexp_replace(F.regexp_extract("p", "^" + pair, 2), "’", "'").alias("f"))
-    both = cut(both.where("g <> ''").groupBy("g", "f").count())
+    some = frozenset(listed)
+
+    def run(batches):
+        for b in batches:
+            n: Counter = Counter()
+            for t in b.t:
+                pairs, words = _evidence(t, some)
+                n.update((g, f, at) for g, f, at in pairs)
+                n.update((w, None, up) for w, up in words)
+            yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["a", "f", "at", "n"])
+
+    seen = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "a string, f string, at int, n long")
+    seen = cut(seen.groupBy("a", "f", "at").agg(F.sum("n").alias("n")))
+    both = seen.where("f is not null").groupBy(F.col("a").alias("g"), "f").agg(*[F.sum(F.when(F.col("at") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "inside"), (0, "open"), (-1, "thing"))])
+    both = cut(both.withColumn("last", F.regexp_extract("f", r"([^ ]+)$", 1)))
+    uses = seen.where("f is null").groupBy(F.col("a").alias("w")).agg(*[F.sum(F.when(F.col("at") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "cap"), (0, "low"))])
+    near = both.select(F.explode(F.array("g", "last")).alias("w")).distinct()
+    uses = cut(uses.join(near, "w", "left_semi"))
     known = docs.sparkSession.createDataFrame([(g,) for g in listed] or [("",)], "g string")
     for _ in range(2):
-        families = both.join(F.broadcast(known), "g", "left_semi").groupBy("f").agg(F.countDistinct("g").alias("n")).where(F.col("n") >= PARTNERS).select("f")
-        more = both.join(F.broadcast(families), "f", "left_semi").groupBy("g").agg(F.countDistinct("f").alias("n")).where((F.col("n") >= PARTNERS) & ~F.lower("g").isin(*TITLES)).select("g")
+        shown = both.join(F.broadcast(known), "g", "left_semi").groupBy("f", "last").agg(F.sum("inside").alias("inside"), F.sum(F.col("inside") + F.col("open")).alias("like"), F.sum("thing").alias("thing"))
+        shown = shown.join(uses.withColumnRenamed("w", "last"), "last", "left").na.fill(0, ["cap", "low"])
+        plain = (F.col("low") <= F.col("like")) | (2 * F.col("inside") >= F.col("like"))  # an ordinary word needs a place inside a sentence
+        families = shown.where((F.col("like") > F.col("thing")) & (NAME_LIKE * F.col("like") >= F.col("cap")) & plain & ~F.lower("f").isin(*TITLES)).select("f")
+        before = both.join(families, "f", "left_semi").groupBy("g").agg(F.sum(F.col("inside") + F.col("open")).alias("like"))
+        before = before.join(uses.withColumnRenamed("w", "g"), "g", "left").na.fill(0, ["cap", "low"])
+        more = before.where((2 * F.col("like") >= F.col("cap")) & (F.col("low") <= F.col("like")) & (F.col("like") > 0) & ~F.lower("g").isin(*TITLES)).select("g")
         givens = {r[0] for r in bounded_rows(more, NAMES, "learnt given names")} | set(listed)
-        known = docs.sparkSession.createDataFrame([(g,) for g in sorted(givens)], "g string")
+        known = docs.sparkSession.createDataFrame([(g,) for g in sorted(givens)] or [("",)], "g string")
     return frozenset(givens), frozenset(r[0] for r in bounded_rows(families, NAMES, "learnt family names"))
 
 

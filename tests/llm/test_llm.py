@@ -194,3 +194,16 @@ def test_pii_tables(spark):
     assert got == set(range(9)) | {50, 51, 52}
     red = {r.doc_id: r.text for r in pii.redacted(d, names).collect()}
     assert red[0] == "Thanks to [NAME] for it." and red[90] == docs[-3][1] and red[91] is None and red[92] == ""
+
+
+def test_names_by_ratio_at_every_size(spark):
+    one = ["Edited by Ana Grandvoile in one sitting.", "Frank Talk is a column, not a man.", "Nobody but Quorin L. Grandvoile had a key."]
+    chance = [f"Photo: {f}, {g} Then it rained." for f in ("Foxley", "Garmond", "Hillsby") for g in ("Ana", "Bea", "Cleo")]
+    rest = ["Then it was late. We sat there and then we left."] * 10
+    g = spark.createDataFrame([("Ana",), ("Bea",), ("Cleo",), ("Frank",)], "given_name string")
+    for times in (1, 20):
+        texts = (one + chance + rest * 9) * times
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        names = pii.learn_names(d, g)
+        assert names[1] == {"Grandvoile"} and names[0] == {"Ana", "Bea", "Cleo", "Frank", "Quorin"}
+        assert [{t[a:e] for a, e, _ in pii.find(t, *names)} for t in texts[:3]] == [{"Ana Grandvoile"}, set(), {"Quorin L. Grandvoile"}]
