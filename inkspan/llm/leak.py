@@ -1,8 +1,8 @@
 """Evaluation texts that leak into training text, by a generalised suffix automaton of the normalised items.
 
 The automaton holds every word sequence of every item. A document's words are streamed through it and the longest match that ends
-at each word is tracked, so the spans shared with any item come out in one pass. Spans are gathered by item; an item whose
-spans cover enough is checked exactly: one stretch of the document, in the item's order, with at most
+at each word is tracked, with the shorter ones of items that the longest does not belong to, so the spans shared with every item come out
+in one pass. An item whose spans cover enough is checked exactly: one stretch of the document, in the item's order, with at most
 one word in eight changed, missing or added.
 
 Only the items are broadcast, and their size is checked. Defined results: null and empty documents match nothing; an item
@@ -120,6 +120,43 @@ class Automaton:
             out.append((len(words) - n, len(words), state))
         return out
 
+    def item_spans(self, words: list[str], least: int) -> dict[int, list[tuple[int, int]]]:
+        """By item, its own (start, end) matches of at least ``least`` words that no longer match of the same item holds.
+
+        What the longest match does not credit comes with its suffixes: they are walked at every word that ends a match.
+        """
+        out: dict[int, list[tuple[int, int]]] = {}
+        state, n = 0, 0
+        held: dict[int, int] = {}  # item: length of its longest match that ends here
+        ids, nxt, link, length, items = self.ids, self.next, self.link, self.length, self.items
+        for i, w in enumerate(words):
+            c = ids.get(w, -1)
+            if c < 0:
+                state = n = 0
+            else:
+                while state and c not in nxt[state]:
+                    state = link[state]
+                    n = length[state]
+                if c in nxt[state]:
+                    state = nxt[state][c]
+                    n += 1
+            now: dict[int, int] = {}
+            if n >= least:
+                v, m = state, n
+                while m >= least:
+                    if len(items[v]) > len(now):
+                        for k in items[v]:
+                            now.setdefault(k, m)
+                    v = link[v]
+                    m = length[v]
+            for k, m in held.items():
+                if now.get(k) != m + 1:
+                    out.setdefault(k, []).append((i - m, i))
+            held = now
+        for k, m in held.items():
+            out.setdefault(k, []).append((len(words) - m, len(words)))
+        return out
+
 
 def best_stretch(item: list[str], words: list[str]) -> tuple[int, int, int, int] | None:
     """(words of the item in it, edits, start, end) of the stretch that holds most of the item within the edit limit."""
@@ -149,12 +186,8 @@ class Matcher:
         """(item_id, coverage, start, end) of the items that leak into the text; offsets in code points."""
         toks = tokens(text)
         words = [w for w, _, _ in toks]
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for a, b, state in self.automaton.spans(words, SEED):
-            for k in self.automaton.items[state]:
-                by_item.setdefault(k, []).append((a, b))
         out = []
-        for k, spans in by_item.items():
+        for k, spans in self.automaton.item_spans(words, SEED).items():
             item_id, ws = self.items[k]
             seen = set()
             for a, b in spans:

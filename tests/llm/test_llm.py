@@ -139,6 +139,27 @@ def test_leaks(spark):
     assert clean[5].removed == 2 and not clean[5].text.strip() and clean[3].text is None and clean[2].removed == 0
 
 
+def test_matches_of_every_item():
+    rng = random.Random(5)
+    items = [[rng.choice("abc") for _ in range(25)] for _ in range(5)]
+    items.append(items[0][5:15])
+    auto = leak.Automaton(items)
+    for _ in range(40):
+        doc = [rng.choice("abcd") for _ in range(40)]
+        got = auto.item_spans(doc, 3)
+        for k, it in enumerate(items):
+            ends = {j: max((n for n in range(3, j + 1) if any(it[p : p + n] == doc[j - n : j] for p in range(len(it) - n + 1))), default=0) for j in range(41)}
+            assert set(got.get(k, ())) == {(j - n, j) for j, n in ends.items() if n and ends.get(j + 1) != n + 1}
+
+
+def test_nested_and_near_equal_items():
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(500)}" for _ in range(90)]
+    near = [w if k % 20 != 10 else f"x{k}" for k, w in enumerate(long)]
+    items = [(1, " ".join(long)), (2, " ".join(long[20:60])), (3, " ".join(near)), (4, " ".join(["other"] + long[5:35] + ["end"] * 20)), (5, "nothing of it at all")]
+    assert {x[0] for x in leak.Matcher(items).leaks("before it " + " ".join(long) + " after it")} == {1, 2, 3, 4}
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------
 
 
