@@ -91,16 +91,17 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """The documents that contain held-out passages and the items that leaked into each."""
-    return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+    found = leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.where(F.col("coverage") >= leak.ENOUGH - 1e-9).select("doc_id", "item_id").distinct()
 
 
 def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Each leak with its coverage and its place."""
+    """Each leaked stretch with its coverage and its place."""
     return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents without the leaked stretches."""
+    """The documents without any leaked stretch."""
     return leak.without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 

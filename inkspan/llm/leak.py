@@ -6,7 +6,7 @@ in one pass. An item whose spans cover enough is checked exactly: one stretch of
 one word in eight changed, missing or added.
 
 Only the items are broadcast, and their size is checked. Defined results: null and empty documents match nothing; an item
-without words is ignored; equal items each count; a document is read whole; each (document, item) comes once.
+without words is ignored; equal items each count; a document is read whole; every stretch of an item comes, also several in one document.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right, insort
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from inkspan.tables import bounded_rows
 ITEMS = 50_000
 #: Share of an item's words that makes a leak; one word in EDIT may differ; spans of SEED words and more are gathered.
 COVERAGE, EDIT, SEED = 0.3, 8, 3
+#: Coverage that a stretch has with its edits allowed; so many equal words in a row leak whatever share of the item they are.
+ENOUGH, LENGTH = COVERAGE * (1 - 1 / EDIT), 13
 
 _TOKEN = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|\w+(?:-\n\w+)?")
 
@@ -182,56 +186,89 @@ class Matcher:
         self.items = [(i, ws) for i, ws in self.items if ws]
         self.automaton = Automaton([ws for _, ws in self.items])
 
-    def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item_id, coverage, start, end) of the items that leak into the text; offsets in code points."""
+    def leaks(self, text: str) -> list[tuple[int, float, int, int, int]]:
+        """(item_id, coverage, start, end, longest run of equal words) of every stretch of an item that leaks into the text; offsets in code points.
+
+        A stretch leaks by its coverage, or as LENGTH and more equal words in a row outside those stretches.
+        """
         toks = tokens(text)
         words = [w for w, _, _ in toks]
         out = []
         for k, spans in self.automaton.item_spans(words, SEED).items():
             item_id, ws = self.items[k]
-            seen = set()
-            for a, b in spans:
-                seen.update(range(a, b))
-            if len(seen) < COVERAGE * len(ws) / 2:
-                continue
-            done = -1
-            found = None
-            for a, _ in sorted(spans):  # windows of the document around the spans
-                lo, hi = max(0, a - len(ws) // EDIT - 4), min(len(words), a + len(ws) + len(ws) // EDIT + 4)
-                if a < done:
-                    continue
-                if sum(1 for p in range(lo, hi) if p in seen) < COVERAGE * len(ws) / 2:
-                    continue
-                got = best_stretch(ws, words[lo:hi])
-                if got and (found is None or got[0] > found[0]):
-                    found = (got[0], lo + got[2], lo + got[3])
-                done = a + max(1, len(ws) // 4)
-            if found and found[0] >= COVERAGE * len(ws) * (1 - 1 / EDIT):
-                out.append((item_id, found[0] / len(ws), toks[found[1]][1], toks[found[2] - 1][2]))
+            parts = self._stretches(ws, words, spans)
+            starts, ends = [a for _, a, _ in parts], [b for _, b in spans]
+            at = lambda a, i=starts: bisect_right(i, a) - 1
+            parts += [(b - a, a, b) for a, b in spans if b - a >= LENGTH and (at(a) < 0 or parts[at(a)][2] < b)]
+            for same, a, b in sorted(parts, key=lambda p: p[1:]):
+                longest = max((min(b, d) - max(a, c) for c, d in spans[bisect_right(ends, a) : bisect_left(ends, b) + 1]), default=0)
+                out.append((item_id, same / len(ws), toks[a][1], toks[b - 1][2], longest))
+        return out
+
+    def _stretches(self, ws: list[str], words: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(words of the item, start, end) of all stretches that cover enough of an item, best first and without overlaps."""
+        seen = sorted({p for a, b in spans for p in range(a, b)})
+        least = COVERAGE * len(ws)
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def look(lo: int, hi: int) -> None:
+            if bisect_left(seen, hi) - bisect_left(seen, lo) < least / 2:
+                return
+            got = best_stretch(ws, words[lo:hi])
+            if got and got[0] >= least * (1 - 1 / EDIT):
+                heappush(heap, (-got[0], lo + got[2], lo + got[3], lo, hi))
+
+        if len(seen) < least / 2:
+            return []
+        done, step = -1, max(1, len(ws) // 4)
+        for a, _ in sorted(spans):  # windows of the document around the spans
+            if a >= done:
+                look(max(0, a - len(ws) // EDIT - 4), min(len(words), a + len(ws) + step + len(ws) // EDIT + 4))
+                done = a + step
+        out: list[tuple[int, int, int]] = []  # by place; parts of a window beside what is taken are looked at again
+        while heap:
+            same, a, b, lo, hi = heappop(heap)
+            k = bisect_left(out, lo, key=lambda p: p[1])
+            k -= k > 0 and out[k - 1][2] > lo
+            inside = []
+            while k < len(out) and out[k][1] < hi:
+                inside.append(out[k][1:])
+                k += 1
+            if not any(c < b and a < d for c, d in inside):
+                insort(out, (-same, a, b), key=lambda p: p[1])
+                inside = sorted([*inside, (a, b)])
+            at = lo
+            for c, d in [*inside, (hi, hi)]:
+                if c - at > 0:
+                    look(at, c)
+                at = max(at, d)
         return out
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, start, end of every leak of ``items`` (item_id, text) into ``docs`` (doc_id, text)."""
+    """doc_id, item_id, coverage, start, end of every leaked stretch of ``items`` (item_id, text) in ``docs`` (doc_id, text).
+
+    An item has a row for each of its stretches. Those with less than ``ENOUGH`` coverage are there for their length only.
+    """
     rows = [(r.item_id, r.text) for r in bounded_rows(items.where("text is not null").select("item_id", "text"), ITEMS, "evaluation items")]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches):
         matcher = Matcher(shared.value)
         for b in batches:
-            out = [(d, *x) for d, t in zip(b.doc_id, b.text) if isinstance(t, str) for x in matcher.leaks(t)]
+            out = [(d, *x) for d, t in zip(b.doc_id, b.text) if isinstance(t, str) for x in (r[:4] for r in matcher.leaks(t))]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "start", "end"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, coverage double, start int, end int")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, most: float = COVERAGE) -> DataFrame:
-    """doc_id, text, removed: the documents with the leaked stretches of at least ``most`` of an item cut out, and how many were."""
+    """doc_id, text, removed: the documents with every leaked stretch of at least ``most`` of an item, or with LENGTH equal words in a row, cut out, and how many were."""
     rows = [(r.item_id, r.text) for r in bounded_rows(items.where("text is not null").select("item_id", "text"), ITEMS, "evaluation items")]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def clean(matcher: Matcher, text: str) -> tuple[str, int]:
-        spans = sorted((a, b) for _, share, a, b in matcher.leaks(text) if share >= most * (1 - 1 / EDIT))
+        spans = sorted((a, b) for _, share, a, b, run in matcher.leaks(text) if share >= most * (1 - 1 / EDIT) or run >= LENGTH)
         out, at = [], 0
         for a, b in spans:
             out.append(text[at : max(at, a)])

@@ -160,6 +160,18 @@ def test_nested_and_near_equal_items():
     assert {x[0] for x in leak.Matcher(items).leaks("before it " + " ".join(long) + " after it")} == {1, 2, 3, 4}
 
 
+def test_every_stretch_and_long_runs(spark):
+    rng = random.Random(12)
+    ws = [f"w{rng.randrange(900)}" for _ in range(120)]
+    item, part, other = " ".join(ws), " ".join(ws[:45]), " ".join(ws[70:])
+    short, run = " ".join(ws[50:62]), " ".join(ws[50:80])
+    docs = [(1, f"a {item} b {item} c"), (2, f"a {other} b {part} c"), (3, f"a {run} b"), (4, f"a {short} b"), (5, f"a {part} b " + "filler " * 300 + f"{other} c {item} d {run} e")]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert Counter(r.doc_id for r in leak.leaks(d, it).collect()) == {1: 2, 2: 2, 3: 1, 5: 4}
+    clean = {r.doc_id: " ".join(r.text.split()) for r in leak.without_leaks(d, it).collect()}
+    assert clean == {1: "a b c", 2: "a b c", 3: "a b", 4: f"a {short} b", 5: "a b " + "filler " * 300 + "c d e"}
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------
 
 
