@@ -195,8 +195,9 @@ def fixes(words: DataFrame) -> DataFrame:
     shapes = sound.groupBy(F.lower("token").alias("_low")).agg(F.sum("n").alias("m"), F.max_by("token", F.struct("n", "token")).alias("_form")).where(F.length("_low") > 1).withColumn("_shape", _shape(F.col("_low")))
     lost = cands.where("kind = 'lost'").withColumn("_shape", _shape(F.col("reading"))).join(shapes, "_shape", "left")
     lost = lost.where(F.col("token").contains(LOST) | ~F.col("token").contains("??") | (F.col("m") >= 3))
-    fits = F.col("_low").isNotNull() & F.lower("reading").rlike(r"^[\x00-\x7f]*$") | F.col("_low").isNull()
-    lost = lost.where(fits).groupBy("token").agg(F.max_by(F.struct("_low", "_form"), F.struct(F.coalesce("m", F.lit(0)), F.coalesce("_low", F.lit("")))).alias("_w"), F.max("reading").alias("reading"))
+    # a reading that holds a sound non-ASCII character is restored by no word, but stays a case
+    fits = F.lower("reading").rlike(r"^[\x00-\x7f]*$")
+    lost = lost.withColumns({c: F.when(fits, F.col(c)) for c in ("_low", "_form", "m")}).groupBy("token").agg(F.max_by(F.struct("_low", "_form"), F.struct(F.coalesce("m", F.lit(0)), F.coalesce("_low", F.lit("")))).alias("_w"), F.coalesce(F.max(F.when(fits, F.col("reading"))), F.max("reading")).alias("reading"))
     lost = lost.withColumn("fixed", F.when(F.col("reading").startswith("*"), F.col("_w._form")).otherwise(_cased(F.col("reading"), F.col("_w._low")))).where(F.col("token").contains(LOST) | F.col("fixed").isNotNull())
     lost = lost.join(best.select("token"), "token", "left_anti").select("token", "fixed")
     return best.unionByName(lost)

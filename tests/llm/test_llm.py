@@ -59,6 +59,14 @@ def test_decoding_table(spark):
     assert encoding.garbled(df.where("rec = 'none'"))[0].count() == 0
 
 
+def test_lost_character_beside_a_sound_one(spark):
+    bad = ["Un “caf� noir.", "C’est qu’apr�s midi."]
+    for known in ([], ["Un “café noir, c’est qu’après midi, un “café noir."] * 20):
+        df = spark.createDataFrame([("t", str(i), "text", s) for i, s in enumerate(bad + known)], "tbl string, rec string, field string, body string")
+        got = {r.rec: (r.restored, r.whole) for r in encoding.restore(df).collect()}
+        assert set(got) == {"0", "1"} and all(encoding.LOST in t and not w for t, w in got.values())
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------
 
 
