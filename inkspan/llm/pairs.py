@@ -1,7 +1,7 @@
 """Broken prompt and response pairs: a multi-label linear classifier trained on defects made from sound pairs.
 
-Sound answers are cut off, replaced by their prompt, by an answer in another language or by a refusal; hashed n-grams of
-the answer's head and tail and features of the pair feed one logistic model a defect, each with a threshold
+Sound answers are cut off, replaced by their prompt, by an answer in another language or by a short or long refusal; hashed n-grams of
+the head of a short answer, of the head, rest and tail of any answer, and features of the pair feed one logistic model a defect, each with a threshold
 calibrated on held-out pairs. The training sample is bounded (``TRAIN_PAIRS``) and drawn by a hash of the key.
 
 Defined results: a null or contentless answer is ``empty``; a null prompt allows only ``empty``, ``truncated`` and ``refusal``; one
@@ -23,6 +23,8 @@ from inkspan.tables import bounded_rows
 
 #: Most pairs that the classifier is trained on.
 TRAIN_PAIRS = 1200
+#: From so many words on an answer is also judged as a whole, by the model of long refusals.
+LONG = 30
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _MARKUP = re.compile("<[^>]*>|&[a-z]+;|[\u200b\ufeff]")
@@ -40,6 +42,16 @@ _REFUSE = {
 }
 
 
+# What a long refusal says before and after it declines.
+_AROUND = {
+    "en": ["I have read your message carefully and I want to take it seriously.", "You clearly put some thought into it, and I appreciate the detail.", "Requests like this one come up often, and every time I have to weigh several things.", "There are good reasons to be interested in the subject, and I do not want to judge them.", "My aim is to be useful and honest in equal measure.", "I know that this is not the answer you were hoping for.", "It may help to look at the question from another side, or to speak with someone who knows the field.", "Many libraries and public offices give good advice on it, free of charge.", "If it is urgent, a person you trust can often do more than I can.", "Please do not take this as a comment on you or on your plans.", "I apologise for the inconvenience, and for the time that this has cost you.", "I could, for example, explain the background in general terms, or suggest a different theme."],
+    "de": ["Ich habe Ihre Nachricht genau gelesen und nehme sie ernst.", "Sie haben sich offenbar viele Gedanken gemacht, und das schätze ich.", "Solche Anfragen kommen oft, und jedes Mal sind mehrere Dinge abzuwägen.", "Mir ist klar, dass Sie eine andere Antwort erhofft haben.", "Vielleicht hilft es, mit jemandem zu sprechen, der sich auskennt.", "Viele Büchereien und Ämter beraten dazu kostenlos.", "Bitte verstehen Sie das nicht als Urteil über Sie oder Ihr Vorhaben.", "Ich bitte um Entschuldigung für die Mühe und die verlorene Zeit."],
+    "fr": ["J'ai lu votre message avec attention et je le prends au sérieux.", "Vous y avez manifestement réfléchi, et j'apprécie les détails.", "De telles demandes reviennent souvent, et il faut chaque fois peser plusieurs choses.", "Je sais que ce n'est pas la réponse que vous espériez.", "Il peut être utile d'en parler avec une personne qui connaît le domaine.", "Beaucoup de bibliothèques et de services publics donnent de bons conseils.", "Ne prenez pas cela comme un jugement sur vous ou sur vos projets.", "Je vous prie d'excuser la gêne et le temps perdu."],
+    "es": ["He leído su mensaje con atención y lo tomo en serio.", "Es evidente que lo ha pensado mucho, y agradezco los detalles.", "Peticiones así llegan a menudo, y cada vez hay que sopesar varias cosas.", "Sé que no es la respuesta que esperaba.", "Puede ayudar hablar con alguien que conozca el tema.", "Muchas bibliotecas y oficinas públicas dan buenos consejos gratis.", "No lo tome como un juicio sobre usted o sobre sus planes.", "Pido disculpas por la molestia y por el tiempo perdido."],
+}
+_SAID = {"en": '"{}" said the voice on the phone, and we laughed.', "de": "„{}“ sagte die Stimme am Telefon, und wir lachten.", "fr": "« {} » dit la voix au téléphone, et nous avons ri.", "es": "«{}» dijo la voz al teléfono, y nos reímos."}
+
+
 def words(s: str) -> list[str]:
     return _WORD.findall(s.lower())
 
@@ -119,6 +131,13 @@ def features(prompt: str | None, text: str, langs: Languages, known: frozenset[i
     refusal = {"short": short, "bias": 1.0, "inprompt": mine}
     for a, b in zip(["^", *ws[:40]], ws[:40]):
         refusal["h:" + b] = refusal["h:" + a + " " + b] = 1 - short
+    whole = {"inprompt": mine} if n >= LONG else {"never": 1.0}
+    ends = max(40, n - 40)
+    for k, (a, b) in enumerate(zip(["^", *ws], ws) if n >= LONG else ()):  # head, rest and tail, and anywhere
+        part = "h:" if k < 40 else "m:" if k < ends else "t:"
+        whole[part + b] = whole[part + a + " " + b] = whole["w:" + a + " " + b] = 1.0
+        if k > 1:
+            whole["w:" + ws[k - 2] + " " + a + " " + b] = 1.0
     t = text.rstrip().rstrip("\u200b")
     tail = re.sub(r"[^\w]+$", "", t)
     line = t.rsplit("\n", 1)[-1]
@@ -141,7 +160,7 @@ def features(prompt: str | None, text: str, langs: Languages, known: frozenset[i
         trunc["cut"] = float(slot("w:" + last[-1]) not in known) * (0.0 if item else 1.0)
         trunc["first:" + (words(line)[:1] or [""])[0]] = float(len(line.split()) <= 4)
     del tail
-    return {"copy": copy, "language": language, "refusal": refusal, "truncated": trunc}
+    return {"copy": copy, "language": language, "refusal": refusal, "refusal at length": whole, "truncated": trunc}
 
 
 def _cut(rng: random.Random, text: str) -> str:
@@ -192,6 +211,27 @@ def _refused(rng: random.Random, lang: str) -> str:
     return rng.choice(["", "", "> "]) + (body[:1].upper() + body[1:] + " " + c).strip()
 
 
+def _refused_at_length(rng: random.Random, lang: str, prompt: str, other: str) -> str:
+    """A long refusal: it declines somewhere in, before or after what it says around that, with the prompt or sentences of another answer or without."""
+    a, b, c = (rng.choice(x) for x in _REFUSE[lang])
+    around = rng.sample(_AROUND[lang], rng.randrange(2, len(_AROUND[lang]) + 1))
+    if rng.random() < 0.6:
+        around = [*around[: rng.randrange(3)], *re.split(r"(?<=[.!?])\s+", other)[: rng.randrange(3, 9)]]
+        rng.shuffle(around)
+    if rng.random() < 0.5:
+        around.insert(rng.randrange(len(around) + 1), prompt.strip())
+    declines = f"{a} {b}".strip()
+    around.insert(rng.choice([0, len(around), rng.randrange(len(around) + 1)]), declines[:1].upper() + declines[1:])
+    return rng.choice([" ", " ", "\n\n"]).join([*around, c]).strip()
+
+
+def _quoted(rng: random.Random, lang: str, text: str) -> str:
+    """A sound answer in which somebody declines something."""
+    parts = re.split(r"(?<=[.!?])\s+", text)
+    parts.insert(rng.randrange(1, len(parts) + 1), _SAID[lang].format(rng.choice(_REFUSE[lang][1])))
+    return " ".join(parts)
+
+
 def train(rows: list[tuple[str | None, str | None]], langs: Languages, seed: int = 11) -> tuple[dict[str, Logistic], frozenset[int]]:
     rng = random.Random(seed)
     sound = [(p, t) for p, t in rows if p and t and len(t.split()) >= 25]
@@ -201,6 +241,8 @@ def train(rows: list[tuple[str | None, str | None]], langs: Languages, seed: int
     for _, t in sound:
         by_lang.setdefault(langs.guess(words(t))[0], []).append(t)
     made: list[tuple[str | None, str, str]] = []
+    added: list[tuple[str | None, str, str]] = []  # long refusals and their counterparts, for the model of long refusals only
+    more = random.Random(seed + 1)
     for p, t in sound:
         want = wanted(p, langs) or "en"
         made.append((p, t, ""))
@@ -214,16 +256,30 @@ def train(rows: list[tuple[str | None, str | None]], langs: Languages, seed: int
         made.append((p, _cut(rng, t), "truncated"))
         made.append((p, _copied(rng, p), "copy"))
         made.append((p, _refused(rng, want if rng.random() < 0.7 else rng.choice(list(_REFUSE))), "refusal"))
+        tongue = want if more.random() < 0.7 else more.choice(list(_REFUSE))
+        added.append((p, _refused_at_length(more, tongue, p, more.choice(by_lang.get(tongue) or [t])), "refusal"))
+        if more.random() < 0.3:
+            added.append((p, _quoted(more, want, t), ""))
+        if more.random() < 0.5:  # sound answers of other lengths
+            added.append((p, t + "\n\n" + more.choice(sound)[1], ""))
         others = [x for x in by_lang if x and x != want]
         if others:
             made.append((p, rng.choice(by_lang[rng.choice(others)]), "language"))
     rng.shuffle(made)
+    more.shuffle(added)
     x = [features(p, t, langs, known) for p, t, _ in made]
+    long = [features(p, t, langs, known)["refusal at length"] for p, t, _ in added]
     models = {}
-    for d, precision in (("refusal", 0.98), ("copy", 0.98), ("language", 0.8), ("truncated", 0.78)):
+    for d, precision in (("refusal", 0.98), ("refusal at length", 0.998), ("copy", 0.98), ("language", 0.8), ("truncated", 0.78)):
         keep = [i for i, (_, t, label) in enumerate(made) if label in ("", d) or d != "truncated"]
         vs = [vector(x[i][d]) for i in keep]
-        ys = [made[i][2] == d for i in keep]
+        ys = [made[i][2] == d.split()[0] for i in keep]
+        if d == "refusal at length":
+            keep = [i for i in keep if len(x[i][d]) > 1]
+            vs = [vector(x[i][d]) for i in keep] + [vector(f) for f in long]
+            ys = [made[i][2] == "refusal" for i in keep] + [label != "" for _, _, label in added]
+            order = more.sample(range(len(vs)), len(vs))
+            vs, ys = [vs[i] for i in order], [ys[i] for i in order]
         cut = len(vs) * 4 // 5
         models[d] = Logistic().fit(vs[:cut], ys[:cut]).calibrate(vs[cut:], ys[cut:], precision)
     return models, known
@@ -236,8 +292,8 @@ def classify(prompt: str | None, text: str | None, langs: Languages, models: dic
     for d in DEFECTS[1:]:
         if d in ("copy", "language") and not prompt:
             continue
-        m = models.get(d)
-        if m is not None and m.score(vector(f[d])) > m.threshold:
+        asked = [d, "refusal at length"] if d == "refusal" and len(words(text)) >= LONG else [d]
+        if any((m := models.get(k)) is not None and m.score(vector(f[k])) > m.threshold for k in asked):
             if d == "language" and f["language"]["other"] != 1.0:  # exact check: the guessed language is another
                 continue
             if d == "truncated" and re.search(r"(?:^|\s)(?:#\w+|https?://\S+)$|\n[ \t]*[-*•·][^\n]*[^\s,;*]$", text.rstrip()) and "**" not in text[-40:]:

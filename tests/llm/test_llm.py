@@ -85,6 +85,20 @@ def test_pairs(spark):
     assert pairs.broken_pairs(df.where("file = 'x'"), words).count() == 0
 
 
+def test_long_refusals():
+    rng = random.Random(3)
+    nouns = ["garden", "ladder", "kettle", "harbour", "window", "letter", "bridge", "market"]
+    make = lambda k: " ".join(f"The {rng.choice(nouns)} was behind the {rng.choice(nouns)} and it is in the {rng.choice(nouns)}." for _ in range(k))
+    langs = pairs.Languages(COMMON)
+    models, known = pairs.train([(f"Write a note about the {rng.choice(nouns)}.", make(6)) for _ in range(260)], langs)
+    before = "Thank you for such a thoughtful brief about the harbour festival. I looked at every point you listed, from the tone to the number of words, and I can see how much the evening matters to the people who organise it each summer. It would be a pleasure to see it succeed."
+    after = "The town hall or a local paper may have someone with the time and the right background for it, and they will know the families involved far better than any outsider could. I wish you a good season."
+    decline = "After weighing all of that with care, however, I can't help with that request."
+    judge = lambda text: pairs.classify("Write a note about the harbour.", text, langs, models, known)
+    assert [judge(x) for x in (f"{before} {decline} {after}", f"{before} {after} {decline}", f"{decline} {before} {after}")] == ["refusal"] * 3
+    assert judge(make(8)) is None
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------
 
 
