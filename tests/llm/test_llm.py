@@ -97,6 +97,39 @@ def test_long_refusals():
     judge = lambda text: pairs.classify("Write a note about the harbour.", text, langs, models, known)
     assert [judge(x) for x in (f"{before} {decline} {after}", f"{before} {after} {decline}", f"{decline} {before} {after}")] == ["refusal"] * 3
     assert judge(make(8)) is None
+    say = "It is a theme with a long history, and people come to it from many sides. "
+    for n in (1, 2, 4, 6, 9):  # as long as it may be
+        assert judge(say * n + "I'm sorry, but I can't help with that request. " + say * n) == "refusal"
+    assert judge(make(6) + "\n\n- the old ladder\n- a kettle") is None and judge(make(6) + "\n\n- the old ladder\n- the letter is behind the") == "truncated"
+
+
+def test_pairs_hardly_depend_on_the_draw():
+    rng = random.Random(8)
+    nouns = ["garden", "ladder", "kettle", "harbour", "window", "letter", "bridge", "market", "cellar", "poster"]
+    make = lambda k: " ".join(f"{rng.choice(['The', 'Their', 'One'])} {rng.choice(nouns)} was behind the {rng.choice(nouns)} and it is in the {rng.choice(nouns)}." for _ in range(k))
+    ask = lambda: f"Write a note about the {rng.choice(nouns)} and the {rng.choice(nouns)} for the people of the town who could not come to the market."
+    rows = []
+    for i in range(900):
+        p, t = ask(), make(rng.randrange(5, 12))
+        if i % 12 == 0:
+            t = rng.choice([p, "Sure! " + p, p.lower(), (p + "\n") * 3])
+        elif i % 12 == 1:
+            t = "I see what you are after, and it seems to mean a lot. Still, I cannot offer it, and I would rather tell you so than write something that helps nobody in the end, whatever it says."
+        elif i % 12 == 2:
+            t = "Le jardin est dans la maison et les lettres est une chose. " * rng.randrange(5, 9)
+        elif i % 12 == 3:
+            t = " ".join(t.split()[: -rng.randrange(2, 9)])
+        rows.append((p, t))
+    counts = []
+    for seed in range(5):
+        langs = pairs.Languages(COMMON)
+        models, known = pairs.train(random.Random(seed).sample(rows, 300), langs)
+        counts.append(Counter(pairs.classify(p, t, langs, models, known) for p, t in rows))
+    for d in ("copy", "refusal", "language", "truncated"):
+        got = [c[d] for c in counts]
+        assert min(got) >= (0.8 if d == "truncated" else 0.95) * 75 and max(got) <= 1.1 * 75, (d, got)
+    total = [900 - c[None] for c in counts]
+    assert max(total) - min(total) <= 0.04 * max(total), counts
 
 
 # --- 6 -----------------------------------------------------------------------------------------------------
