@@ -1,14 +1,14 @@
 """Mixed timestamp formats and zones: every valid reading of a value, then the best chain of readings.
 
-Each value becomes an array of interpretations (native expressions, no Python). What the row's
-source says about its zone and day order removes readings; where a source says nothing, the readings
-left are chosen by a Viterbi pass over the source's record order that penalises a change of format and a
-step back in time. The pass is exact and runs in blocks of the record order: each block gives the
-cheapest cost between its first and last readings, those small matrices are chained per source, and
-each block is then traced back with its ends fixed. No task ever holds a whole source.
+Each value becomes an array of all its interpretations (native expressions, no Python). What the row's source says about its
+order of day and month is a cost on the readings that contradict it. Every row's reading is chosen by a Viterbi pass over the
+source's record order that also penalises a change of format and a step back in time. The pass is exact and runs in blocks of
+the record order: each block gives the cheapest cost between its first and last readings and the path for each, those small matrices
+are chained per source, and each block's path is then known. No task ever holds a whole source, and rows cross one shuffle.
 
 Defined results: null, empty and unreadable values have no interpretation; a local time without any known
-zone has none; one that the zone skips or has twice has none; ties go to the earlier interpretation.
+zone has none; one that the zone skips or has twice has none; ties go to the earlier interpretation; a row without a place in
+the order takes its cheapest reading; repeated rows are each read; a place should hold few rows.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ FORMS = [
 
 INTERPRETATION = "struct<fmt:string,normal:string,micros:bigint,cost:double>"
 SWITCH_COST, BACK_COST = 1.0, 2.0
+#: Cost of a reading that contradicts what its source says: more than any step of the chain can save.
+AGAINST = 100.0
 #: Width of a block of the record order.
 BLOCK = 65_536
 
@@ -72,7 +74,7 @@ def _int(c: Column) -> Column:
 
 
 def interpretations(df: DataFrame, value: str, tz: str, day_first: str, out: str = "reading") -> DataFrame:
-    """One row an interpretation of ``value`` with it in ``out`` (null: it has none); tz and day_first may be null per row."""
+    """One row an interpretation of ``value`` with it in ``out`` (null: it has none), the array of all of them unfolded; tz and day_first may be null per row."""
     s = F.trim(F.col(value))
     kind, flat = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern, to in reversed(FORMS):
@@ -101,17 +103,16 @@ def interpretations(df: DataFrame, value: str, tz: str, day_first: str, out: str
     x = x.withColumn("_off", F.when(F.abs(off) <= 18 * 60, off)).withColumn("_tz", F.when(F.col("_zone").isNotNull(), named).otherwise(F.col(tz)))
     x = x.withColumn("_iso", F.when(F.col("_s").rlike(r"^\d{4}-W\d\d-\d$"), _iso_week(F.col("_s"))).when(F.col("_s").rlike(r"^\d{4}-\d{3}$"), _ordinal(F.col("_s"))))
     x = x.withColumn("_epoch", F.when(F.col("_s").rlike(r"^\d{10}(\d{3}|\d{6})?(\.\d{1,6})?$"), _epoch(F.col("_s"))))
-    known = F.col(day_first)
-    numeric = F.col("_k") == "num"
-    one = lambda fmt, m, d, off, cost: F.struct(fmt.alias("fmt"), F.col(m).alias("m"), F.col(d).alias("d"), off.cast("int").alias("off"), F.lit(cost).alias("cost"))
-    # another order of day and month, and another meaning of an abbreviation, only where the source doesn't tell
-    a = F.when(F.col("_k").isNotNull() & F.coalesce(~numeric | known, F.lit(True)), one(F.col("_k"), "_m", "_d", F.col("_off"), 0.0))
-    b = F.when(numeric & F.coalesce(~known, F.col("_m") != F.col("_d")), one(F.lit("num_mdy"), "_d", "_m", F.col("_off"), 0.0))
-    alt = F.when(F.col(tz).isNull() & F.col("_zone").isin(*OTHER_MEANINGS), one(F.concat("_k", F.lit("_alt")), "_m", "_d", F.try_element_at(_lookup(OTHER_MEANINGS), F.col("_zone")), 4.0))
-    other = lambda fmt, at: F.struct(fmt.alias("fmt"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("int").alias("d"), F.lit(None).cast("int").alias("off"), F.lit(0.0).alias("cost"))
-    day = F.when(F.col("_iso").isNotNull(), other(F.lit("iso_day"), "_iso"))
-    epoch = F.when(F.col("_epoch").isNotNull(), other(F.lit("epoch"), "_epoch"))
-    x = x.withColumn("_c", F.explode_outer(F.array_compact(F.array(a, b, alt, day, epoch))))
+    known, numeric = F.col(day_first), (F.col("_k") == "num") & (F.col("_m") != F.col("_d"))
+    no_int = F.lit(None).cast("int")
+    one = lambda fmt, m, d, off, cost: F.struct(fmt.alias("fmt"), m.alias("m"), d.alias("d"), off.cast("int").alias("off"), cost.cast("double").alias("cost"))
+    m, d, zero = F.col("_m"), F.col("_d"), F.lit(0.0)
+    # day and month as numbers may come in either order, and an abbreviation may mean another zone
+    first = F.when(F.col("_k").isNotNull(), one(F.col("_k"), m, d, F.col("_off"), F.when(numeric & ~known, AGAINST).otherwise(zero)))
+    first = first.when(F.col("_iso").isNotNull(), one(F.lit("iso_day"), no_int, no_int, no_int, zero)).when(F.col("_epoch").isNotNull(), one(F.lit("epoch"), no_int, no_int, no_int, zero))
+    swapped = F.when(numeric, one(F.lit("num_mdy"), d, m, F.col("_off"), F.when(known, AGAINST).otherwise(zero)))
+    other = F.when(F.col("_zone").isin(*OTHER_MEANINGS), one(F.concat("_k", F.lit("_alt")), m, d, F.try_element_at(_lookup(OTHER_MEANINGS), F.col("_zone")), F.when(F.col(tz).isNotNull() | (numeric & ~known), AGAINST).otherwise(4.0)))
+    x = x.withColumn("_c", F.explode_outer(F.array_compact(F.array(first, swapped, other))))
     return _read(x, out).select(*names, out)
 
 
@@ -181,78 +182,106 @@ def _read(x: DataFrame, out: str) -> DataFrame:
 # --- choosing one reading a record ------------------------------------------------------------------------
 
 
-def _edge(a: list, b: list) -> np.ndarray:
+def _edge(fa: np.ndarray, ua: np.ndarray, fb: np.ndarray, ub: np.ndarray) -> np.ndarray:
     """Cost of going from each reading in a to each in b."""
-    fa, fb = np.array([x["fmt"] for x in a]), np.array([x["fmt"] for x in b])
-    ta, tb = np.array([x["micros"] for x in a], dtype="int64"), np.array([x["micros"] for x in b], dtype="int64")
-    return SWITCH_COST * (fa[:, None] != fb[None, :]) + BACK_COST * (tb[None, :] < ta[:, None])
+    return SWITCH_COST * (fa[:, None] != fb[None, :]) + BACK_COST * (ub[None, :] < ua[:, None])
 
 
-def _own(a: list) -> np.ndarray:
-    return np.array([x["cost"] for x in a])
+def _walk(n: np.ndarray, f: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest cost between each first and each last reading of a block, and for each such pair (row by row) the readings on the way.
 
-
-def _transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_ord", "_tie"], kind="stable")
-    nodes = [list(v) for v in pdf["interps"]]
-    m = np.where(np.eye(len(nodes[0])) > 0, _own(nodes[0])[:, None], np.inf)
-    for a, b in zip(nodes, nodes[1:]):
-        m = (m[:, :, None] + _edge(a, b)[None]).min(axis=1) + _own(b)[None]
-    return pd.DataFrame([{"_chain": pdf["_chain"].iloc[0], "_block": pdf["_block"].iloc[0], "first": nodes[0], "last": nodes[-1], "m": m.ravel().tolist()}])
+    n: readings a row; f, u, c: their format, time and own cost. Steps between rows of one reading cost the same on every way
+    and are left out, so only rows of several and the rows after them are walked.
+    """
+    rows, first, last = len(n), int(n[0]), int(n[-1])
+    best = np.where(np.eye(first) > 0, c[0, :first][:, None], np.inf)
+    many = np.flatnonzero(n > 1)
+    steps = np.unique(np.concatenate([many, many + 1]))
+    steps = steps[(steps > 0) & (steps < rows)]
+    back = []
+    for i in steps:
+        a, b = int(n[i - 1]), int(n[i])
+        if best.shape[1] != a:  # the rows between have one reading each
+            raise AssertionError("a step was left out")
+        way = best[:, :, None] + _edge(f[i - 1, :a], u[i - 1, :a], f[i, :b], u[i, :b])[None]
+        back.append(way.argmin(axis=1))
+        best = way.min(axis=1) + c[i, :b][None]
+    picks = np.zeros((rows, first * last), dtype=np.uint8)
+    for a in range(first):
+        for z in range(last):
+            k, at = a * last + z, z
+            for j in range(len(steps) - 1, -1, -1):
+                i = int(steps[j])
+                if j + 1 < len(steps) and int(steps[j + 1]) != i + 1:
+                    at = 0
+                picks[i, k] = at
+                at = int(back[j][a, at])
+            picks[0, k] = a
+            picks[-1, k] = z
+    return best, picks
+
+
+def _block(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The records of a block with their readings and those on each way through it; the first one also says what each way costs and where it begins and ends."""
+    pdf = pdf.sort_values(["_ord", "_tie", "_rid", "cost", "fmt"], kind="stable").reset_index(drop=True)
+    starts = np.flatnonzero(np.r_[True, pdf["_rid"].to_numpy()[1:] != pdf["_rid"].to_numpy()[:-1]])
+    n = np.diff(np.r_[starts, len(pdf)])
+    row, slot = np.repeat(np.arange(len(n)), n), np.arange(len(pdf)) - np.repeat(starts, n)
+    width = int(n.max())
+
+    def spread(values, empty):
+        out = np.full((len(n), width), empty, dtype=object if isinstance(empty, str) else type(empty))
+        out[row, slot] = values
+        return out
+
+    f, u, c = spread(pdf["_format"].to_numpy(), 0), spread(pdf["micros"].to_numpy(), 0), spread(pdf["cost"].to_numpy(), 0.0)
+    m, picks = _walk(n, f, u, c)
+    ways, digits = picks.shape[1], (picks + 48).tobytes().decode()
+    out = pdf[[*keys, "_chain", "_block"]].iloc[starts].reset_index(drop=True)
+    out["ways"] = [digits[i : i + ways] for i in range(0, len(digits), ways)]
+    for name, values in (("normals", spread(pdf["normal"].to_numpy(), "")), ("fmts", spread(pdf["fmt"].to_numpy(), "")), ("costs", c)):
+        out[name] = pd.Series([v[:k] for v, k in zip(values.tolist(), n.tolist())], dtype=object)
+    for name, values in (("ff", f[0, : n[0]]), ("fu", u[0, : n[0]]), ("lf", f[-1, : n[-1]]), ("lu", u[-1, : n[-1]]), ("m", m.ravel())):
+        out[name] = pd.Series([values.tolist(), *[None] * (len(out) - 1)], dtype=object)
+    return out
 
 
 def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The way through each block on the cheapest path of a chain."""
     pdf = pdf.sort_values("_block")
     best, back, before = None, [], None
-    for first, last, m in zip(pdf["first"], pdf["last"], pdf["m"]):
-        first, last = list(first), list(last)
-        m = np.array(m).reshape(len(first), len(last))
-        enter = np.zeros(len(first)) if best is None else (best[:, None] + _edge(before, first)).min(axis=0)
-        came = None if best is None else (best[:, None] + _edge(before, first)).argmin(axis=0)
-        total = enter[:, None] + m
-        back.append((came, total.argmin(axis=0)))
-        best, before = total.min(axis=0), last
+    for ff, fu, lf, lu, m in zip(*[[np.array(v) for v in pdf[k]] for k in ("ff", "fu", "lf", "lu", "m")]):
+        m = m.reshape(len(ff), len(lf))
+        way = np.zeros((1, len(ff))) if best is None else best[:, None] + _edge(*before, ff, fu)
+        total = way.min(axis=0)[:, None] + m
+        back.append((None if best is None else way.argmin(axis=0), total.argmin(axis=0), len(lf)))
+        best, before = total.min(axis=0), (lf, lu)
     out, z = [], int(best.argmin())
-    for block, (came, entry) in zip(reversed(list(pdf["_block"])), reversed(back)):
+    for block, (came, entry, width) in zip(reversed(list(pdf["_block"])), reversed(back)):
         a = int(entry[z])
-        out.append((pdf["_chain"].iloc[0], block, a, z))
+        out.append((pdf["_chain"].iloc[0], block, a * width + z))
         z = 0 if came is None else int(came[a])
-    return pd.DataFrame(out, columns=["_chain", "_block", "_a", "_z"])
+    return pd.DataFrame(out, columns=["_chain", "_block", "_way"])
 
 
-def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_ord", "_tie"], kind="stable")
-    nodes = [list(v) for v in pdf["interps"]]
-    a, z = int(pdf["_a"].iloc[0]), int(pdf["_z"].iloc[0])
-    best = np.full(len(nodes[0]), np.inf)
-    best[a] = 0
-    back = []
-    for x, y in zip(nodes, nodes[1:]):
-        step = best[:, None] + _edge(x, y)
-        back.append(step.argmin(axis=0))
-        best = step.min(axis=0) + _own(y)
-    picked = [z]
-    for b in reversed(back):
-        picked.append(int(b[picked[-1]]))
-    return pdf.assign(picked=np.array(picked[::-1], dtype="int32"))[["_key", "interps", "picked"]]
-
+def choose_readings(read: DataFrame, keys: list[str], chain: str, order: str, block: int = BLOCK) -> DataFrame:
+    """keys, normals, fmts, costs, picked: a row a record, with its readings, the cheaper first, and the index (from 0) of the chosen one.
 
-def choose_readings(df: DataFrame, key: str, chain: str, order: str, block: int = BLOCK) -> DataFrame:
-    """key, interps, picked: the chosen index in ``interps`` (from 0) of each row that has a reading.
-
-    chain, order: the columns of a source and of the record order in it (a long; ties by key). Exact for any
-    number of rows a chain.
+    read: a row a reading, with the record's number in ``_rid`` and the struct ``reading``. chain, order: the columns of a source and of the record
+    order in it (a long; ties by the keys). Exact for any number of records a chain. A record without a place takes its cheapest reading.
     """
-    x = df.where(F.size("interps") > 0).select(
-        F.col(key).alias("_key"), F.coalesce(F.col(chain), F.lit("")).alias("_chain"), F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("_ord"), F.col(key).cast("string").alias("_tie"), "interps"
-    )
-    x = x.withColumn("_block", F.floor(F.col("_ord") / block).cast("long"))
-    kind = f"array<{INTERPRETATION}>"
-    parts = x.groupBy("_chain", "_block").applyInPandas(_transfer, f"_chain string, _block long, first {kind}, last {kind}, m array<double>")
-    ends = parts.groupBy("_chain").applyInPandas(_ends, "_chain string, _block long, _a int, _z int")
-    fixed = x.join(ends, ["_chain", "_block"])
-    key_type = df.schema[key].dataType.simpleString()
-    return fixed.groupBy("_chain", "_block").applyInPandas(_trace, f"_key {key_type}, interps {kind}, picked int").withColumnRenamed("_key", key)
+    r = F.col("reading")
+    x = read.where("reading is not null").select(*keys, "_rid", F.coalesce(F.col(chain), F.lit("")).alias("_chain"), F.col(order).cast("long").alias("_ord"), r["fmt"].alias("fmt"), r["normal"].alias("normal"), r["micros"].alias("micros"), r["cost"].alias("cost"))
+    first = F.sort_array(F.collect_list(F.struct("cost", "fmt", "normal")))
+    alone = x.where("_ord is null").groupBy("_rid").agg(*[F.any_value(k).alias(k) for k in keys], first.alias("_all"))
+    alone = alone.select(*keys, *[F.col(f"_all.{c}").alias(f"{c}s") for c in ("normal", "fmt", "cost")], F.lit(0).alias("picked"))
+    x = x.where("_ord is not null").withColumn("_block", F.floor(F.col("_ord") / block).cast("long")).withColumn("_tie", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).withColumn("_format", F.xxhash64("fmt"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name in keys)
+    ways = "ff array<long>, fu array<long>, lf array<long>, lu array<long>, m array<double>"
+    parts = cut(x.groupBy("_chain", "_block").applyInPandas(lambda pdf: _block(pdf, keys), f"{kinds}, _chain string, _block long, ways string, normals array<string>, fmts array<string>, costs array<double>, {ways}"))
+    ends = parts.where("m is not null").select("_chain", "_block", "ff", "fu", "lf", "lu", "m").groupBy("_chain").applyInPandas(_ends, "_chain string, _block long, _way int")
+    chosen = parts.join(small_side(cut(ends)), ["_chain", "_block"])
+    return chosen.select(*keys, "normals", "fmts", "costs", F.substr("ways", F.col("_way") + 1, F.lit(1)).cast("int").alias("picked")).unionByName(alone)
 
 
 def ascii_key(c: Column) -> Column:
@@ -260,30 +289,29 @@ def ascii_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[^\x21-\x7e]|\?", "")
 
 
-def normalise(df: DataFrame, key: str, value: str, source: str, order: str, sources: DataFrame, keep_unread: bool = False) -> DataFrame:
-    """One row a row of df: key, raw, normal, fmt, n (interpretations at no cost), decided ('only', 'chain', 'none').
+def normalise(df: DataFrame, keys: list[str], value: str, source: str, order: str, sources: DataFrame, keep_unread: bool = False, chain: str | None = None) -> DataFrame:
+    """One row a row of df: keys, raw, normal, fmt, n (readings that contradict nothing and have no cost), decided.
 
-    Unread rows are kept with decided 'none' if asked for. ``sources`` (source, tz_name, day_first) may hold the source under
-    its clean name; a garbled one in df finds it by its ASCII letters. The interpretations are checkpointed:
+    decided: 'only' (nothing else can be meant), 'chain' (the best of several), 'none' (unread; such rows are kept if asked for). Rows of one
+    ``source``, and of one ``chain`` if that column is given, are read in ``order``. ``sources`` (source, tz_name, day_first) may hold the
+    source under its clean name; a garbled one in df finds it by its ASCII letters. The interpretations are checkpointed:
     the optimiser derives constraints through every step of that long projection otherwise, and takes minutes.
     """
     known = sources.select(ascii_key(F.col("source")).alias("_skey"), F.col("tz_name").alias("_tzname"), F.col("day_first").alias("_df")).dropDuplicates(["_skey"])
-    x = df.select(F.col(key).alias("_id"), F.col(value).alias("_raw"), F.col(source).alias("_src"), F.col(order).cast("long").alias("_pos"), ascii_key(F.col(source)).alias("_skey"))
+    x = df.select(*keys, F.col(value).alias("_raw"), F.col(order).cast("long").alias("_pos"), ascii_key(F.col(source)).alias("_skey"), (F.col(chain) if chain else F.lit("")).alias("_part"))
     x = x.join(small_side(known), "_skey", "left")
-    x = x.withColumn("_sure", F.col("_tzname").isNotNull() & F.col("_df").isNotNull())
-    x = x.withColumn("_rid", F.when(~F.col("_sure"), F.expr("uuid()")))
-    read = cut(interpretations(x, "_raw", "_tzname", "_df").select("_id", "_raw", "_src", "_pos", "_sure", "_rid", "reading"))
-    sure_rows = read.where("_sure")
-    if not keep_unread:
-        sure_rows = sure_rows.where("reading is not null")
-    direct = sure_rows.select("_id", "_raw", F.col("reading").alias("best"), F.when(F.col("reading").isNotNull(), 1).otherwise(0).alias("n"), F.lit(True).alias("lone"))
-    arrays = read.where("not _sure").groupBy("_rid").agg(*[F.first(c).alias(c) for c in ("_id", "_raw", "_src", "_pos")], F.sort_array(F.collect_list("reading")).alias("interps"))
-    picked = choose_readings(arrays, "_rid", "_src", "_pos").select("_rid", "picked")
-    free = F.size(F.filter("interps", lambda i: i["cost"] == 0))
-    chained = arrays.join(picked, "_rid", "left" if keep_unread else "inner")
-    chained = chained.select("_id", "_raw", F.get("interps", F.coalesce("picked", F.lit(0))).alias("best"), free.alias("n"), (F.size("interps") == 1).alias("lone"))
-    best = F.col("best")
-    return direct.unionByName(chained).select(
-        F.col("_id").alias(key), F.col("_raw").alias("raw"), best["normal"].alias("normal"), best["fmt"].alias("fmt"), "n",
-        F.when(best.isNull(), "none").when((F.col("n") == 1) & ((best["cost"] == 0) | F.col("lone")), "only").otherwise("chain").alias("decided"),
+    x = interpretations(x.withColumn("_rid", F.monotonically_increasing_id()), "_raw", "_tzname", "_df")
+    x = x.select(*keys, "_raw", "_pos", "_rid", F.concat_ws("|", "_part", F.coalesce("_skey", F.lit(""))).alias("_src"), "reading")
+    read = cut(x if keep_unread else x.where("reading is not null"))
+    x = choose_readings(read, [*keys, "_raw"], "_src", "_pos").withColumn("_cost", F.get("costs", "picked"))
+    free, allowed = (F.size(F.filter("costs", test)) for test in (lambda c: c == 0, lambda c: c < AGAINST))
+    only = (allowed == 1) | ((free == 1) & (F.col("_cost") == 0))
+    stands = lambda c: F.when(F.col("_cost") < AGAINST, c)
+    x = x.select(
+        *keys, F.col("_raw").alias("raw"), stands(F.get("normals", "picked")).alias("normal"), stands(F.get("fmts", "picked")).alias("fmt"), F.coalesce(stands(free), F.lit(0)).alias("n"),
+        F.when(F.col("_cost") >= AGAINST, "none").when(only, "only").otherwise("chain").alias("decided"),
     )
+    if not keep_unread:
+        return x.where("decided <> 'none'")
+    none = read.groupBy("_rid").agg(*[F.any_value(k).alias(k) for k in [*keys, "_raw"]], F.count("reading").alias("_n")).where("_n = 0")
+    return x.unionByName(none.select(*keys, F.col("_raw").alias("raw"), F.lit(None).cast("string").alias("normal"), F.lit(None).cast("string").alias("fmt"), F.lit(0).alias("n"), F.lit("none").alias("decided")))

@@ -15,10 +15,9 @@ def _dates(spark: SparkSession, sf: str, keep_unread: bool) -> DataFrame:
     human = table(spark, sf, "human_manifest").select("file", "date", "source").withColumn("pos", F.nullif(F.regexp_extract("file", r"__(\d+)", 1), F.lit("")).try_cast("long"))
     both = posts.select(F.lit("posts").alias("tbl"), F.col("post_id").cast("string").alias("rec"), "date", "source", F.col("post_id").alias("pos"))
     both = both.unionByName(human.select(F.lit("human_manifest").alias("tbl"), F.col("file").alias("rec"), "date", "source", "pos"))
-    both = both.withColumn("key", F.struct("tbl", "rec"))
     if not keep_unread:
         both = both.where("date is not null")
-    return timestamps.normalise(both, "key", "date", "source", "pos", sources, keep_unread).select("key.tbl", "key.rec", "raw", "normal", "fmt", "n", "decided")
+    return timestamps.normalise(both, ["tbl", "rec"], "date", "source", "pos", sources, keep_unread, "tbl")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

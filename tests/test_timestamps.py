@@ -14,7 +14,7 @@ SOURCES = [("us", "America/New_York", False), ("uk", "Europe/London", True), ("c
 def run(spark, rows, keep=True):
     df = spark.createDataFrame([(i, v, s, i) for i, (v, s) in enumerate(rows)], "id long, date string, source string, pos long")
     src = spark.createDataFrame(SOURCES, "source string, tz_name string, day_first boolean")
-    return {r.id: r for r in T.normalise(df, "id", "date", "source", "pos", src, keep).collect()}
+    return {r.id: r for r in T.normalise(df, ["id"], "date", "source", "pos", src, keep).collect()}
 
 
 def test_forms(spark):
@@ -41,7 +41,7 @@ def test_empty_table(spark):
     assert run(spark, [("x", "us")], keep=False) == {}
     df = spark.createDataFrame([], "id long, date string, source string, pos long")
     src = spark.createDataFrame([], "source string, tz_name string, day_first boolean")
-    assert T.normalise(df, "id", "date", "source", "pos", src).count() == 0
+    assert T.normalise(df, ["id"], "date", "source", "pos", src).count() == 0
 
 
 def test_zones_against_brute_force(spark):
@@ -62,8 +62,8 @@ def test_chain_is_the_best_path(spark):
     rng = random.Random(5)
     days = [dt.date(2015, 1, 1) + dt.timedelta(days=rng.randrange(350)) for _ in range(9)]
     df = spark.createDataFrame([(i, d.strftime("%m/%d/%Y"), i) for i, d in enumerate(days)], "id long, date string, pos long").withColumns({"tz": F.lit(None).cast("string"), "df": F.lit(None).cast("boolean")})
-    arrays = T.interpretations(df, "date", "tz", "df").groupBy("id", "pos").agg(F.sort_array(F.collect_list("reading")).alias("interps")).withColumn("chain", F.lit("a"))
-    nodes = [r.interps for r in arrays.orderBy("pos").collect()]
+    read = T.interpretations(df.withColumn("_rid", F.col("id")), "date", "tz", "df").withColumn("chain", F.lit("a"))
+    nodes = [[r.reading for r in read.where(F.col("id") == i).collect() if r.reading] for i in range(len(days))]
 
     def cost(path):
         pairs = list(zip(path, path[1:]))
@@ -71,5 +71,16 @@ def test_chain_is_the_best_path(spark):
 
     best = min(cost(p) for p in itertools.product(*nodes))
     for block in (2, 3, 1000):
-        got = {r.id: r.picked for r in T.choose_readings(arrays, "id", "chain", "pos", block).collect()}
-        assert np.isclose(cost([n[got[i]] for i, n in enumerate(nodes)]), best)
+        got = {r.id: r.normals[r.picked] for r in T.choose_readings(read, ["id"], "chain", "pos", block).collect()}
+        assert np.isclose(cost([next(n for n in ns if n.normal == got[i]) for i, ns in enumerate(nodes)]), best)
+
+
+def test_a_source_outweighs_the_chain(spark):
+    """Every row goes through the chain; a known order of day and month is never given up for it."""
+    rows = [("12/25/2015", "us"), ("01/02/2016", "us"), ("12/26/2015", "us"), ("13/14/2015", "us"), ("25/12/2015", "us")]
+    got = run(spark, rows)
+    assert [got[i].normal for i in range(5)] == ["2015-12-25", "2016-01-02", "2015-12-26", None, None]
+    assert [got[i].decided for i in range(5)] == ["only", "only", "only", "none", "none"]
+    same = spark.createDataFrame([(1, "2015-07-04", "us", None), (1, "2015-07-04", "us", None), (2, "04.05.2015", None, None)], "id long, date string, source string, pos long")
+    src = spark.createDataFrame(SOURCES, "source string, tz_name string, day_first boolean")
+    assert sorted(r.decided for r in T.normalise(same, ["id"], "date", "source", "pos", src).collect()) == ["chain", "only", "only"]
