@@ -47,8 +47,16 @@ def dialect(pattern: str, java: bool) -> str:
     return "".join(out)
 
 
+_BLANKS = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def plain_blanks(t: Column) -> Column:
+    """All whitespace that is not ASCII as blanks, one for one: Java's own class of it then says the same and is several times as fast."""
+    return F.translate(t, _BLANKS, " " * len(_BLANKS))
+
+
 def word_count(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(NOT_WS + "+"))
+    return F.regexp_count(plain_blanks(t), F.lit(r"\S++"))
 
 
 def straighten(t: Column) -> Column:
@@ -70,7 +78,7 @@ def em_dash_count(t: Column) -> Column:
 
 def sentence_lengths(t: Column) -> Column:
     """Words of each sentence; empty pieces are left out."""
-    return F.filter(F.transform(F.split(t, SENTENCE_END), word_count), lambda n: n > 0)
+    return F.filter(F.transform(F.split(plain_blanks(t), r"[.!?]++[\s\"')\]]*+"), lambda s: F.regexp_count(s, F.lit(r"\S++"))), lambda n: n > 0)
 
 
 def cadence(lengths: Column) -> Column:
@@ -112,15 +120,15 @@ _LEAD = "Ã[\u0080-¿]|â\u0080"
 
 
 def demojibake(t: Column) -> Column:
-    """UTF-8 read as Latin-1, read again if its signature is there and all of it is sound; else unchanged."""
-    again = F.encode(t, "ISO-8859-1")
-    latin = t.rlike("^[\\x{0}-\\x{ff}]*$")
-    return F.when(t.rlike(_LEAD) & latin, F.coalesce(F.when(F.is_valid_utf8(again.cast("string")), again.cast("string")), t)).otherwise(t)
+    """UTF-8 read as Latin-1, read again if its signature is there and all of it is sound; else unchanged. Of a character beyond Latin-1 the low byte counts."""
+    low = F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c == "", "").when(F.ascii(c) > 65535, F.char(F.shiftright(F.ascii(c) - 65536, 10))).otherwise(F.char(F.ascii(c)))), "")
+    again = F.encode(F.when(t.rlike(r"^[\x{0}-\x{ff}]*+$"), t).otherwise(low), "ISO-8859-1").cast("string")
+    return F.when(t.rlike(_LEAD), F.when(F.is_valid_utf8(again), again).otherwise(t)).otherwise(t)
 
 
-def clean_text(t: Column, repair: bool = True) -> Column:
-    """Collected text without entities, placeholders, rulers and legal tails, with blanks squeezed."""
-    t = demojibake(t) if repair else t
+def clean_text(t: Column) -> Column:
+    """Collected text, repaired, without entities, placeholders, rulers and legal tails, with blanks squeezed."""
+    t = demojibake(t)
     t = F.regexp_replace(t, r"&(nbsp|amp|lt|gt|quot|#\d+);", " ")
     t = F.regexp_replace(t, BOUNDARY + "urlLink" + BOUNDARY, "")
     t = F.regexp_replace(t, rf"(?m)^{WS}*(?:\*{{3,}}|={{3,}}|_{{3,}}).*$", "")

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FIELDS = ("id", "source", "published", "words", "text")
 _DAY = re.compile(r"\d{4}-\d\d-\d\d", re.ASCII)
@@ -227,10 +228,10 @@ def _check_json(value) -> tuple[str | None, str | None, dict]:
     return None, None, _typed(v)
 
 
-def _resume(s: str, at: int, fmt: str) -> int:
-    """The next validated record start after ``at``: a line that looks like one and whose record parses whole."""
+def _resume(s: str, start: int, at: int, fmt: str) -> int:
+    """The next validated record start from the error ``at`` on, after ``start``: a line that looks like one and whose record parses whole."""
     for m in (_CSV_START if fmt == "csv" else _JSON_START).finditer(s, at):
-        if m.start() <= at:
+        if m.start() <= start:
             continue
         try:
             if fmt == "csv":
@@ -268,7 +269,7 @@ def parse(s: str, fmt: str, one: bool = False) -> Iterator[Parsed]:
                 reason, what, values = _check_json(value)
             yield Parsed(start, i, reason, start if reason else None, what, values)
         except Broken as e:
-            i = len(s) if one else _resume(s, max(e.at, start), fmt)
+            i = len(s) if one else _resume(s, start, max(e.at, start), fmt)
             yield Parsed(start, i, "quoting", e.at, e.what)
             i = max(i, start + 1)
         if one:
@@ -291,3 +292,31 @@ def read_rows(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["row_id", "file", "line_no", "reason", "error_at", "error", *FIELDS]).astype({"error_at": "Int32"})
 
     return rows.select("row_id", "file", "fmt", "line_no", "raw_row").mapInPandas(run, SCHEMA)
+
+
+#: Records of a file that are joined to one text.
+STREAM_ROWS = 200
+
+
+def joined(rows: DataFrame, many: int = STREAM_ROWS) -> DataFrame:
+    """file, fmt, block, raw: runs of ``many`` record numbers of each file as one text, in their order. A hot file is many texts."""
+    x = rows.where("raw_row is not null").select("file", "fmt", F.floor(F.col("line_no") / many).cast("long").alias("block"), F.struct("line_no", "row_id", "raw_row").alias("r"))
+    lines = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["raw_row"])
+    return x.groupBy("file", "fmt", "block").agg(F.array_join(lines, "\n").alias("raw"))
+
+
+STREAM_SCHEMA = "file string, fmt string, block long, start int, end int, reason string, error_at int, error string, id string, source string, published string, words string, text string"
+
+
+def read_streams(texts: DataFrame) -> DataFrame:
+    """A row for each record or error of ``texts`` (file, fmt, block, raw) with its place; after an error it goes on at the next record start."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for file, fmt, block, raw in zip(b.file, b.fmt, b.block, b.raw):
+                for r in parse(raw, fmt) if isinstance(raw, str) else ():
+                    out.append((file, fmt, block, r.start, r.end, r.reason, r.at, r.what, *[None if r.values.get(k) is None else str(r.values[k]) for k in FIELDS]))
+            yield pd.DataFrame(out, columns=["file", "fmt", "block", "start", "end", "reason", "error_at", "error", *FIELDS]).astype({"error_at": "Int32"})
+
+    return texts.select("file", "fmt", "block", "raw").mapInPandas(run, STREAM_SCHEMA)

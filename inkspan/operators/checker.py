@@ -70,7 +70,7 @@ def kept(hits: Column) -> Column:
 
 
 def checked(drafts: DataFrame, text: str = "text") -> DataFrame:
-    """drafts with words, hits, kept and the cadence finding."""
+    """drafts with words, hits, kept and the cadence finding. Cut a long draft with ``textfn.draft_truncate`` first."""
     x = with_hits(drafts, text)
     x = x.withColumn("kept", kept(F.col("hits"))).withColumn("_l", T.sentence_lengths(F.col(text)))
     return x.withColumn("cadence", T.even_cadence(F.col("_l"), F.col("words"))).drop("_l", "straight")
@@ -106,9 +106,12 @@ def tells_map(found: DataFrame) -> Column:
     return F.map_from_entries(F.concat(counts, F.when(F.col("cadence").isNotNull(), F.array(F.struct(F.lit("even_cadence").alias("k"), F.lit(1).alias("v")))).otherwise(F.expr("cast(array() as array<struct<k:string,v:int>>)"))))
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Adds tells and message."""
-    x = found.withColumn("tells", F.size("kept") + F.when(F.col("cadence").isNotNull(), 1).otherwise(0))
+def summary(found: DataFrame, text: str = "text") -> DataFrame:
+    """Adds tells, the number of kept spans, and message. A cadence that runs too evenly is no tell but is spoken of; so is a draft that was cut."""
+    x = found.withColumn("tells", F.size("kept"))
     plural = lambda c, word: F.concat(c.cast("string"), F.lit(" " + word), F.when(c == 1, "").otherwise("s"))
-    clean = F.concat(F.lit("No tells in "), plural(F.col("words"), "word"), F.lit("."))
-    return x.withColumn("message", F.when(F.col("tells") == 0, clean).otherwise(F.concat(plural(F.col("tells"), "tell"), F.lit(" in "), plural(F.col("words"), "word"), F.lit("."))))
+    n, even = plural(F.col("words"), "word"), F.col("cadence").isNotNull()
+    some = F.concat(plural(F.col("tells"), "tell"), F.lit(" in "), n, F.lit("."), F.when(even, " The sentences are of nearly one length.").otherwise(""))
+    none = F.when(even, F.concat(F.lit("No phrase stands out in "), n, F.lit(", but the cadence does."))).otherwise(F.concat(F.lit(f"Clean: none of {len(RULES) + 2} tells in "), n, F.lit(".")))
+    cut = F.when(F.length(F.col(text)) > T.DRAFT_CHARS, F.concat(F.lit(" Only the first "), n, F.lit(" of a long draft were read."))).otherwise("")
+    return x.withColumn("message", F.concat(F.when(F.col("tells") > 0, some).otherwise(none), cut))

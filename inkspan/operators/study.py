@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import textfn as T
 from inkspan.operators import rules as R
-from inkspan.tables import small_side
+from inkspan.tables import bounded_rows
 
 MIN_WORDS, MIN_DOCS, REPLICATES = 100, 20, 2000
 RULE_IDS = [r.id for r in R.RULES] + ["em_dash"]
 
 
-def dedupe(docs: DataFrame, arm: str = "arm", name: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first by name of each text within an arm, texts compared without case and blanks."""
-    keyed = docs.withColumn("_h", T.norm_hash(F.col(text)))
-    # pre-aggregated: only the smallest name of a group crosses the shuffle, however many copies there are
-    first = keyed.groupBy(arm, "_h").agg(F.min(name).alias("_first"))
-    return keyed.join(first, (keyed[arm].eqNullSafe(first[arm])) & (keyed["_h"] == first["_h"]) & (keyed[name] == first["_first"]), "left_semi").drop("_h")
+def dedupe(docs: DataFrame, keep: list[str], arm: str = "arm", name: str = "doc_id", text: str = "text") -> DataFrame:
+    """arm, name and the numeric columns ``keep`` of the first by name of each text within an arm, texts compared without case and blanks.
+
+    One scan and one shuffle of thin rows: the smallest name of a text and its columns are combined before it, however many copies there are.
+    """
+    keyed = docs.select(arm, name, *keep, T.norm_hash(F.col(text)).alias("_h"))
+    return keyed.groupBy(arm, "_h").agg(F.min(name).alias(name), *[F.min_by(c, name).alias(c) for c in keep]).select(arm, name, *keep)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -45,34 +48,43 @@ def rates(measured: DataFrame) -> DataFrame:
     return long(totals(measured), "arm").withColumn("rate", F.when(F.col("words") > 0, F.col("n") / F.col("words") * 1000).otherwise(F.lit(0.0)))
 
 
-def positions(df: DataFrame, group: str, name: str, block: int = 65_536) -> DataFrame:
-    """Adds pos, the row's place (from 0) by the long column ``name`` in its group. Numbered in blocks: no task sorts a whole group."""
-    x = df.withColumn("_b", F.floor(F.col(name) / block))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = x.groupBy(group, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy(name)) - 1
-    return x.withColumn("_i", inside).join(offsets, [group, "_b"]).withColumn("pos", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
+#: Chances that a document is drawn at least once, twice and so on, in steps of 2^-31 (Poisson with mean 1).
+_DRAWN = [round((1 - sum(math.exp(-1) / math.factorial(i) for i in range(k))) * 2147483647) for k in range(1, 10)]
+
+
+def draws(name: str, rep: str) -> str:
+    """SQL of how often a replicate draws a document: Poisson by a seeded number of both."""
+    first = f"(({name} * 48271 + {rep} * 69621 + 12345) % 2147483647) * 16807 % 2147483647"
+    x = f"((({first}) + {rep} * 7919) * 48271 % 2147483647)"
+    return "(" + " + ".join(f"CASE WHEN {x} < {p} THEN 1 ELSE 0 END" for p in _DRAWN) + ")"
 
 
-def bootstrap(measured: DataFrame, name: str = "doc_id", replicates: int = REPLICATES, arms_limit: int = 10_000) -> DataFrame:
+def bootstrap(measured: DataFrame, name: str = "doc_id", replicates: int = REPLICATES) -> DataFrame:
     """arm, rule_id, lo, hi: the 51st and the 1951st of the sorted rates of resampled documents (of 2,000).
 
-    Draw j of replicate r is document ((r * 1103515 + j * 12345 + r * j * 7919 + 42) mod (2^31 - 1)) mod n. Draws are
-    made where they are joined: the measured rows are broadcast while they are few and shuffled by arm and position beyond; sums are combined
-    before the shuffle by replicate.
+    A document's draws are independent Poisson numbers with mean 1, the limit of drawing as many documents as there are with replacement: each row knows
+    its own, so nothing is joined or placed, and sums are combined before the shuffle, to one row an arm and replicate a task.
     """
     cols = [f"n_{r}" for r in RULE_IDS]
-    docs = positions(measured.select("arm", name, "words", *cols), "arm", name)
-    sizes = docs.groupBy("arm").agg(F.count("*").alias("size"))
-    reps = measured.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = sizes.crossJoin(F.broadcast(reps)).select("arm", "size", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("j"))
-    at = F.pmod((F.col("rep") * 1103515 + F.col("j") * 12345 + F.col("rep") * F.col("j") * 7919 + 42) % 2147483647, F.col("size"))
-    drawn = draws.select("arm", "rep", at.alias("pos")).join(small_side(docs), ["arm", "pos"])
-    summed = drawn.groupBy("arm", "rep").agg(F.sum("words").alias("words"), *[F.sum(c).alias(c) for c in cols])
+    x = measured.select("arm", name, "words", *cols).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    x = x.withColumn("k", F.expr(draws(name, "rep"))).where("k > 0")
+    summed = x.groupBy("arm", "rep").agg(F.sum(F.col("k") * F.col("words")).alias("words"), *[F.sum(F.col("k") * F.col(c)).alias(c) for c in cols])
     each = long(summed, "arm", "rep").withColumn("rate", F.when(F.col("words") > 0, F.col("n") / F.col("words") * 1000).otherwise(F.lit(0.0)))
     lo, hi = int(replicates * 0.025), int(replicates * 0.975)
     sorted_ = F.sort_array(F.collect_list("rate"))
-    return each.groupBy("arm", "rule_id").agg(F.element_at(sorted_, lo + 1).alias("lo"), F.element_at(sorted_, hi + 1).alias("hi"))
+    return each.groupBy("arm", "rule_id").agg(F.get(sorted_, F.lit(lo)).alias("lo"), F.get(sorted_, F.lit(hi)).alias("hi"))
+
+
+def empty_arms(arms: DataFrame, kept: DataFrame) -> DataFrame:
+    """arm, advice of each of ``arms`` of which no document is left."""
+    return arms.select("arm").distinct().join(kept.select("arm").distinct(), "arm", "left_anti").select("arm", F.lit("no document left: lower the word limit or add texts").alias("advice"))
+
+
+def require_arms(arms: DataFrame, kept: DataFrame) -> None:
+    """Stops if an arm is empty."""
+    empty = sorted(r.arm for r in bounded_rows(empty_arms(arms, kept), 10_000, "empty arms"))
+    if empty:
+        raise ValueError(f"no document left in {', '.join(empty)}: lower the word limit or add texts")
 
 
 def separation(rated: DataFrame, first: str, second: str) -> DataFrame:

@@ -315,3 +315,12 @@ def normalise(df: DataFrame, keys: list[str], value: str, source: str, order: st
         return x.where("decided <> 'none'")
     none = read.groupBy("_rid").agg(*[F.any_value(k).alias(k) for k in [*keys, "_raw"]], F.count("reading").alias("_n")).where("_n = 0")
     return x.unionByName(none.select(*keys, F.col("_raw").alias("raw"), F.lit(None).cast("string").alias("normal"), F.lit(None).cast("string").alias("fmt"), F.lit(0).alias("n"), F.lit("none").alias("decided")))
+
+
+def instants(df: DataFrame, key: str, value: str, source: str, sources: DataFrame) -> DataFrame:
+    """key, micros: the instant each readable value begins at. A row of an unknown source counts as UTC with the month first."""
+    known = sources.select(ascii_key(F.col("source")).alias("_skey"), F.col("tz_name").alias("_tzname"), F.col("day_first").alias("_df")).dropDuplicates(["_skey"])
+    x = df.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).alias("_raw"), ascii_key(F.col(source)).alias("_skey")).join(small_side(known), "_skey", "left")
+    x = x.withColumns({"_tzname": F.coalesce("_tzname", F.lit("UTC")), "_df": F.coalesce("_df", F.lit(False))})
+    read = cut(interpretations(x, "_raw", "_tzname", "_df").select(key, F.col("reading.micros").alias("micros"), F.col("reading.cost").alias("_cost")))
+    return read.where((F.col("_cost") < AGAINST) & F.col("micros").isNotNull()).groupBy(key).agg(F.min_by("micros", "_cost").alias("micros"))

@@ -36,9 +36,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows that load, with their five typed fields."""
+    """The rows that load, with their five typed fields; an id of any length is kept as its digits, words hold up to 38."""
     good = badrows.read_rows(table(spark, sf, "raw_rows")).where("reason is null")
-    return good.select("row_id", "file", "line_no", F.col("id").try_cast("long").alias("id"), "source", F.to_date("published").alias("published"), F.col("words").try_cast("long").alias("words"), "text")
+    return good.select("row_id", "file", "line_no", "id", "source", F.to_date("published").alias("published"), F.col("words").try_cast("decimal(38,0)").alias("words"), "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_readings": p3_readings, "p4_found": p4_found, "p4_loaded": p4_loaded}
+def p4_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The records and located errors of the same rows read as running text, where a broken quote is recovered from at the next record start."""
+    return badrows.read_streams(badrows.joined(table(spark, sf, "raw_rows")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_readings": p3_readings, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_stream": p4_stream}

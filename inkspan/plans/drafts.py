@@ -47,16 +47,17 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def snippet(doc_id) -> F.Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (doc_id % len(SNIPPETS) + 1).cast("int"))
+def snippet(text) -> F.Column:
+    """The snippet of a text, by its length: copies of a text get the same."""
+    return F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.length(text) % len(SNIPPETS) + 1).cast("int"))
 
 
 def drafts(spark: SparkSession, sf: str) -> DataFrame:
     d = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "arm", "source", "text"))
-    return d.select("doc_id", F.coalesce("arm", F.lit("none")).alias("arm"), F.concat("text", F.lit(" "), snippet(F.col("doc_id"))).alias("text"))
+    return d.select("doc_id", F.coalesce("arm", F.lit("none")).alias("arm"), F.concat("text", F.lit(" "), snippet(F.col("text"))).alias("text"))
 
 
-_DRAFTS = f"drafts AS (SELECT doc_id, coalesce(arm, 'none') AS arm, text || ' ' || ({_LIST})[CAST(doc_id % {len(SNIPPETS)} + 1 AS INTEGER)] AS text FROM documents WHERE text IS NOT NULL)"
+_DRAFTS = f"drafts AS (SELECT doc_id, coalesce(arm, 'none') AS arm, text || ' ' || ({_LIST})[CAST(length(text) % {len(SNIPPETS)} + 1 AS INTEGER)] AS text FROM documents WHERE text IS NOT NULL)"
 WITH = f"WITH RECURSIVE {_DRAFTS} "
 
 
@@ -155,7 +156,17 @@ add("norm_hash", _d(lambda d: d.select("doc_id", T.norm_hash(F.col("text")).alia
 add("dedupe_key", _d(lambda d: d.select("doc_id", T.dedupe_key(F.col("text")).alias("k"))), f"{WITH} SELECT doc_id, {s_collapse('lower(substr(text, 1, 300))')} AS k FROM drafts")
 
 
+def s_latin(t: str) -> str:
+    """The low bytes of a text as a blob."""
+    return f"unhex(array_to_string(list_transform(string_split({t}, ''), lambda c: printf('%02x', CASE WHEN unicode(c) > 65535 THEN ((unicode(c) - 65536) >> 10) & 255 ELSE unicode(c) & 255 END)), ''))"
+
+
+def s_repaired(t: str) -> str:
+    return f"CASE WHEN regexp_matches({t}, 'Ã[\\x{{80}}-\\x{{bf}}]|â\\x{{80}}') THEN coalesce(TRY(decode({s_latin(t)})), {t}) ELSE {t} END"
+
+
 def s_clean(t: str) -> str:
+    """``t``: a text that is repaired already."""
     g = lambda x, p, to: f"regexp_replace({x}, {q(p)}, {to}, 'g')"
     t = g(t, r"&(nbsp|amp|lt|gt|quot|#\d+);", "' '")
     t = g(t, r"\burlLink\b", "''")
@@ -166,8 +177,8 @@ def s_clean(t: str) -> str:
     return s_trim(g(t, "\\n{3,}", "E'\\n\\n'"))
 
 
-add("clean_text", _d(lambda d: d.select("doc_id", T.clean_text(F.col("text"), repair=False).alias("clean"))), f"{WITH} SELECT doc_id, {s_clean('text')} AS clean FROM drafts")
-add("demojibake", lambda spark, sf: table(spark, sf, "posts").where("text is not null").select("post_id", T.demojibake(F.col("text")).alias("text")), None)
+add("clean_text", _d(lambda d: d.select("doc_id", T.clean_text(F.col("text")).alias("clean"))), f"{WITH} SELECT doc_id, {s_clean('t')} AS clean FROM (SELECT doc_id, {s_repaired('text')} AS t FROM drafts)")
+add("demojibake", lambda spark, sf: table(spark, sf, "posts").where("text is not null").select("post_id", T.demojibake(F.col("text")).alias("text")), f"SELECT post_id, {s_repaired('text')} AS text FROM posts WHERE text IS NOT NULL")
 add("html_escape", _d(lambda d: d.select("doc_id", T.html_escape(F.col("text")).alias("html"), T.attr_escape(F.col("text")).alias("attr"))), f"{WITH} SELECT doc_id, {s_escape('text')} AS html, replace({s_escape('text')}, '\"', '&quot;') AS attr FROM drafts")
 add("sanitize_html", _d(lambda d: d.select("doc_id", T.sanitize_html(F.col("text")).alias("html"))), f"""{WITH}, cut AS (
     SELECT doc_id, string_split_regex(text, '<[^>]*>') AS p, regexp_extract_all(text, '<[^>]*>') AS g FROM drafts),
@@ -197,27 +208,26 @@ add("hits_kept", _exploded("kept"), f'{WITH}, {_KEPT} SELECT doc_id, rule_id, "s
 
 
 def hit_cap(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw and kept hits of each rule in very repetitive drafts."""
-    d = drafts(spark, sf).withColumn("straight", T.straighten(F.concat("text", F.repeat(snippet(F.col("doc_id")), 150))))
-    counts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r.id).alias("rule_id"), R.count(r, F.col("straight")).alias("n")) for i, r in enumerate(R.RULES)])
-    x = d.select("doc_id", counts.alias("c"))
-    before = lambda o: F.aggregate(F.slice("c", F.lit(1), o), F.lit(0), lambda a, y: a + y["n"])
-    x = x.select("doc_id", F.explode_outer("c").alias("r"), "c").select("doc_id", "r.rule_id", "r.n", before(F.col("r.ord")).alias("b"))
-    kept = F.when(F.col("n") == 0, 0).when(F.col("b") <= checker.HIT_CAP, F.least(F.col("n"), F.lit(checker.HIT_CAP + 1) - F.col("b"))).otherwise(1)
-    return x.select("doc_id", "rule_id", F.col("n").cast("long").alias("n"), kept.cast("long").alias("kept"))
+    """Hits of each rule that the cap leaves in very repetitive drafts."""
+    d = drafts(spark, sf).withColumn("text", F.concat("text", F.repeat(F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int")), 150)))
+    x = checker.with_hits(d).select("doc_id", F.explode_outer("hits").alias("h")).where("h.rule_id <> 'em_dash'")
+    return x.groupBy("doc_id", F.col("h.rule_id").alias("rule_id")).agg(F.count("*").alias("kept"))
 
 
 add("hit_cap", hit_cap, f"""{WITH}, rep AS (SELECT doc_id, {s_straight(f"text || repeat(({_LIST})[CAST(doc_id % {len(SNIPPETS)} + 1 AS INTEGER)], 150)")} AS straight FROM drafts),
     c AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{r.id}' AS rule_id, CAST({s_count(r, 'straight')} AS BIGINT) AS n FROM rep" for i, r in enumerate(R.RULES))}),
     b AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM c)
-    SELECT doc_id, rule_id, n, CASE WHEN n = 0 THEN 0 WHEN b <= 400 THEN least(n, 401 - b) ELSE 1 END AS kept FROM b""")
+    SELECT doc_id, rule_id, CASE WHEN b <= 400 THEN least(n, 401 - b) ELSE 1 END AS kept FROM b WHERE n > 0""")
 add("em_dash_flag", _d(lambda d: d.select("doc_id", checker.dash_flag(F.col("text"), T.word_count(F.col("text"))).alias("flagged"))), f"{WITH}, {_BASE} SELECT doc_id, dashes > greatest(1, words // 200) AS flagged FROM base0")
 add("fired_groups", _d(lambda d: checker.fired_groups(checker.checked(d), "doc_id").select("doc_id", "rule_id", F.col("n").cast("long").alias("n"), F.col("rank").cast("long").alias("rank"))), f"""{WITH}, {_KEPT},
     g AS (SELECT doc_id, rule_id, sev, count(*) AS n, min("start") AS first, 0 AS late FROM kept GROUP BY ALL UNION ALL SELECT doc_id, 'even_cadence', 2, 1, 0, 1 FROM cadence WHERE said IS NOT NULL)
     SELECT doc_id, rule_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY late, sev DESC, n DESC, first) AS rank FROM g""")
-_TELLS = "tells AS (SELECT b.doc_id, b.words, coalesce(k.n, 0) + CASE WHEN c.said IS NULL THEN 0 ELSE 1 END AS tells FROM base0 b LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id) k ON k.doc_id = b.doc_id JOIN cadence c ON c.doc_id = b.doc_id)"
+_TELLS = "tells AS (SELECT b.doc_id, b.words, coalesce(k.n, 0) AS tells, c.said IS NOT NULL AS even, length(b.text) > 60000 AS long FROM base0 b LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id) k ON k.doc_id = b.doc_id JOIN cadence c ON c.doc_id = b.doc_id)"
 _PL = lambda c, w: f"{c} || ' {w}' || CASE WHEN {c} = 1 THEN '' ELSE 's' END"
-add("check_summary", _d(lambda d: checker.summary(checker.checked(d)).select("doc_id", F.col("tells").cast("long").alias("tells"), "message")), f"{WITH}, {_KEPT}, {_TELLS} SELECT doc_id, CAST(tells AS BIGINT) AS tells, CASE WHEN tells = 0 THEN 'No tells in ' || {_PL('words', 'word')} || '.' ELSE {_PL('tells', 'tell')} || ' in ' || {_PL('words', 'word')} || '.' END AS message FROM tells")
+_SAID = f"""CASE WHEN tells > 0 THEN {_PL('tells', 'tell')} || ' in ' || {_PL('words', 'word')} || '.' || CASE WHEN even THEN ' The sentences are of nearly one length.' ELSE '' END
+    WHEN even THEN 'No phrase stands out in ' || {_PL('words', 'word')} || ', but the cadence does.' ELSE 'Clean: none of {len(R.RULES) + 2} tells in ' || {_PL('words', 'word')} || '.' END
+    || CASE WHEN long THEN ' Only the first ' || {_PL('words', 'word')} || ' of a long draft were read.' ELSE '' END"""
+add("check_summary", _d(lambda d: checker.summary(checker.checked(d)).select("doc_id", F.col("tells").cast("long").alias("tells"), "message")), f"{WITH}, {_KEPT}, {_TELLS} SELECT doc_id, CAST(tells AS BIGINT) AS tells, {_SAID} AS message FROM tells")
 add("tells_map", _d(lambda d: checker.checked(d).select("doc_id", F.explode_outer(checker.tells_map(d)).alias("rule_id", "n")).where("rule_id is not null").select("doc_id", "rule_id", F.col("n").cast("long").alias("n"))), f"{WITH}, {_KEPT} SELECT doc_id, rule_id, count(*) AS n FROM kept GROUP BY ALL UNION ALL SELECT doc_id, 'even_cadence', 1 FROM cadence WHERE said IS NOT NULL")
 add("mark_text", _d(lambda d: checker.checked(d).select("doc_id", checker.mark_text(F.col("text"), F.col("kept")).alias("html"))), f"""{WITH}, {_KEPT},
     seq AS (SELECT k.doc_id, k."start" AS a, k."end" AS z, coalesce(lag(k."end") OVER (PARTITION BY k.doc_id ORDER BY k."start"), 0) AS p FROM kept k),

@@ -53,16 +53,25 @@ def read_mails(spark: SparkSession, folder: str) -> DataFrame:
     return x.where(F.col("t").contains("\n\n")).select("path", mail_body(F.col("t")).alias("text"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """text, date of a csv with header: the leftmost known column of each kind."""
-    x = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    names = {c.strip().lower(): c for c in reversed(x.columns)}
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _picked(x: DataFrame) -> DataFrame:
     pick = lambda known: next((c for c in x.columns if c.strip().lower() in known), None)
-    del names
     text, date = pick(TEXT_COLUMNS), pick(DATE_COLUMNS)
     if text is None:
         raise ValueError("no text column")
-    return x.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{date}`") if date else F.lit(None).cast("string")).alias("date"))
+    return x.select(F.replace(F.col(f"`{text}`"), F.lit("\r"), F.lit("")).alias("text"), (F.col(f"`{date}`") if date else F.lit(None).cast("string")).alias("date"))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """text, date of a csv with header: the leftmost known column of each kind, without carriage returns."""
+    return _picked(spark.read.csv(path, **_CSV))
+
+
+def stream_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream of files; the columns are those of the files that are there at the start."""
+    return _picked(spark.readStream.schema(spark.read.csv(path, **_CSV).schema).options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in _CSV.items()}).csv(path))
 
 
 def json_text(df: DataFrame, column: str) -> DataFrame:

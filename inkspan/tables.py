@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,13 +31,56 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; on one machine without it, one of its own. A cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that every executor sees")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="inkspan-"))
+    return _LOCAL[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of any file system, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def own_path(spark: SparkSession, what: str = "table") -> str:
+    """A new path in the shared folder that is deleted when the program ends."""
+    path = f"{shared_folder(spark)}/inkspan-{what}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            if spark.sparkContext._jsc is not None:
+                remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
+
+    atexit.register(clear)
+    return path
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a small file to any file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read again: its lineage ends in files every executor sees."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="inkspan-")
-    path = f"{folder}/inkspan-{uuid.uuid4().hex}"
+    path = own_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -51,18 +51,12 @@ def test_rules_are_shared():
     assert len(R.RULES) == 14 and len({r.id for r in R.RULES}) == 14 and R.RETIRED.id not in study.RULE_IDS
 
 
-def test_positions_in_blocks(spark):
-    df = spark.range(0, 500, 3).withColumn("arm", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
-    rows = study.positions(df, "arm", "id", block=64).collect()
-    for arm in "ab":
-        mine = sorted((r.id, r.pos) for r in rows if r.arm == arm)
-        assert [p for _, p in mine] == list(range(len(mine)))
-
-
 def test_collector(spark):
     body = " ".join(f"w{i}" for i in range(120))
     rows = [(1, "f", "2015-01-01", body), (2, "f", "2015-01-01", body.upper()), (3, "f", "2020-01-01", body + " x"), (4, "f", None, body), (5, "f", "2015-01-01", "short"), (6, "f", "2015-01-01", None), (7, "f", "2018-01-01", "edge " + body)]
-    got = {r.pos: r.why for r in collect.considered(spark.createDataFrame(rows, "pos long, file string, date string, text string"), "2018-01-01").collect()}
+    raw = spark.createDataFrame(rows, "pos long, file string, date string, text string").withColumn("source", F.lit("x"))
+    none = spark.createDataFrame([], "source string, tz_name string, day_first boolean")
+    got = {r.pos: r.why for r in collect.considered(raw, "2018-01-01", none).collect()}
     assert got == {1: None, 2: "dupe", 3: "date", 4: "date", 5: "length", 6: "length", 7: "date"}
 
 
