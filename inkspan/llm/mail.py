@@ -33,8 +33,14 @@ _HEAD = re.compile(r"(?i)^\W{0,2}(from|sent|to|cc|subject|date|von|gesendet|an|b
 _INTRO = re.compile(r"(?i)\b(wrote|said|schrieb|a écrit|écrit|escribió|writes)\b[^.?!]{0,80}:\s*$")
 _INTRO_A = re.compile(r"(?i)^(on|am|le|el)\b.*\d.*\b\d{1,2}[:h]\d\d")
 _PS = re.compile(r"(?i)^\W?p\.?\s?s\b\.?")
-_DEVICE = re.compile(r"(?i)\b(sent from|gesendet|envoyé de(puis)?|enviado desde|for mobile|my (tablet|phone))\b")
-_LEGAL = re.compile(r"(?i)\b(confidential|privileged|intended (only|recipient)|addressee|named recipient|disclosure|not permitted|delete it|in error|attachments|registered under|sender's own|no contract|notice:|disclaimer|unverbindlich|vertraulich|rechtlicher hinweis|hinweis|empfänger|irrtümlich|confidentiel|destinataire|n'engagent que|auteur|confidencial|destinatario|por error|elimine|consider the (trees|environment)|medio ambiente|before printing|avant d'imprimer|umwelt)\b")
+_DEVICE = re.compile(r"(?i)\b(sent (from|with|via|using)|gesendet|verschickt|envoyé (de(puis)?|avec|à partir)|enviado (desde|con)|for (mobile|android|ios))\b")
+# Words of legal and other notices that are added to mails, in four languages.
+_LEGAL = re.compile(
+    r"(?i)\b(?:confidential\w*|privileged|intended|addressees?|recipients?|disclos\w+|unauthori[sz]ed|prohibited|permitted|distribut\w+|copying|may not|forward(?:ed|ing)?|in error|delete|notify|attachments?|virus\w*|liab\w+|warrant\w*|opinions|views|binding|contract\w*|employer|registered|disclaimer|notice|printing|environment|trees|paper"
+    r"|vertraulich\w*|empfänger\w*|irrtümlich\w*|unbefugt\w*|haft\w+|verbindlich\w*|unverbindlich|rechtlich\w*|hinweis|anhänge|ansichten|umwelt\w*|ausdruck\w*|drucken|löschen"
+    r"|confidentiel\w*|destinataires?|erreur|opinions?|engagent|responsabilité|juridique|supprimer|imprimer|environnement|avertissement|auteur"
+    r"|confidencial\w*|destinatari\w+|por error|opiniones|responsabilidad|aviso|legal|elimin\w+|imprimir|medio ambiente)\b"
+)
 _CONTACT = re.compile(r"(?i)(https?://|www\.|@|☎|\+\d{2}|\btel\b|\bt[ .:+]+\d|\bm: |\(\d\)\d|\d{3}[ .-]\d{3,4})")
 _GREET = re.compile(r"(?i)^(hi|hello|dear|hey|morning|good (morning|evening)|hallo|liebe[rs]?|lieber|guten|bonjour|cher|chère|salut|hola|querid[oa]|estimad[oa]|buenos)\b")
 _CLOSE = re.compile(r"(?i)^(kind |best |warm |many )?(regards|best|thanks|thank you|cheers|yours|talk soon|sincerely|all the best|take care|danke|gruß|grüße|(viele|liebe|beste|herzliche) grüße|mit freundlichen grüßen|bis bald|cordialement|bien à (toi|vous)|à bientôt|merci|amitiés|bises|un saludo|saludos|hasta pronto|gracias|un abrazo|atentamente)\b[^.?!]{0,20}$")
@@ -213,20 +219,43 @@ _GIVEN = ["Marta", "Joel", "Ines", "Tariq", "Clément", "Beate", "Øyvind", "Nur
 _FAMILY = ["Halvern", "Castrel", "Obermoor", "Tindalay", "del Monte", "Quarrish", "Belfort", "Sandrik", "O'Malloy", "van Teele"]
 _CLOSINGS = ["Kind regards,", "Best,", "Best regards", "Thanks,", "Thanks", "Cheers,", "Yours", "Talk soon,", "Regards,", "All the best,", "Mit freundlichen Grüßen", "Viele Grüße", "Gruß,", "Danke", "Liebe Grüße,", "Bis bald", "Cordialement,", "Bien à toi,", "À bientôt", "Merci", "Un saludo,", "Hasta pronto", "Gracias,", "Saludos"]
 _GREETINGS = ["Hi {n},", "Hello {n},", "Dear {n},", "{n},", "{n} -", "Morning {n} -", "Hey {n}", "Hallo {n},", "Liebe {n},", "Lieber {n},", "Guten Morgen {n},", "Bonjour {n},", "Chère {n},", "Salut {n},", "Hola {n},", "Querida {n}:", "Estimado {n},", "Hi all,"]
-_ROLES = ["Senior editor, Letters", "Office of plain words", "Freelance proofreader", "Head of drafts", "Redaktion", "Archivo y documentación", "Service des lecteurs", "Night desk", "Relations clients", "Copy chief"]
-_DEVICES = ["Sent from my pocket phone", "Sent from my tablet, please excuse typos", "Sent from my phone", "Von meinem Telefon gesendet", "Envoyé de mon téléphone", "Enviado desde mi móvil", "Get Quickmail for mobile"]
-_DISCLAIMERS = [
-    "This message and any attachments are confidential and intended only for the addressee. If you received it in error, please delete it and tell the sender.",
-    "The information in this e-mail may be privileged. Any copying or disclosure by anyone else is not permitted.",
-    "NOTICE: opinions expressed above are the sender's own. No contract is formed by this mail unless confirmed on paper.",
-    "Unless you are the named recipient you may not use, store or forward what is written here. Our house is registered under no. 4411.",
-    "Please consider the trees before printing this mail.", "Rechtlicher Hinweis: Der Inhalt dieser Mail ist unverbindlich.", "Diese Nachricht ist vertraulich und nur für den Empfänger bestimmt. Haben Sie sie irrtümlich erhalten, löschen Sie sie bitte.",
-    "Ce message est confidentiel et réservé à son destinataire. Si vous l'avez reçu par erreur, merci de le supprimer.", "Les opinions exprimées ci-dessus n'engagent que leur auteur.",
-    "Este mensaje es confidencial y se dirige únicamente a su destinatario. Si lo ha recibido por error, le rogamos que lo elimine.", "Antes de imprimir este correo, piense en el medio ambiente.",
-]
+_RANKS, _JOBS = ["Senior", "Junior", "Lead", "Assistant", "Deputy", "", ""], ["Manager", "Engineer", "Analyst", "Accountant", "Director", "Consultant", "Coordinator", "Designer", "Teacher", "Officer", "Editor"]
+_UNITS = ["Sales", "Finance", "Human Resources", "Research", "Customer Care", "Purchasing", "Public Affairs", "Library Services", "Vertrieb", "Personalabteilung", "Buchhaltung", "Kundendienst", "Ressources humaines", "Service commercial", "Comptabilité", "Recursos humanos", "Atención al cliente", "Ventas"]
+_SHORT_ROLES = ["{j}, {u}", "{r} {j}", "{r} {j}, {u}", "{u}", "{u} Department", "Office of {u}", "Head of {u}", "Abteilung {u}", "Service {u}", "{u} y {u2}", "{u} & {u2}", "Freelance {j}"]
+_GADGETS = ["iPhone", "iPad", "Android phone", "Samsung", "smartphone", "mobile device", "BlackBerry", "laptop", "phone", "tablet"]
+_DEVICE_LINES = ["Sent from my {g}", "Sent from my {g}.", "Sent using my {g}, excuse my brevity", "Sent with Mailbird", "Get Outlook for Android", "Von meinem {g} gesendet", "Gesendet mit der Mail-App", "Envoyé de mon {g}", "Envoyé depuis mon {g}", "Enviado desde mi {g}", "Sent via webmail", "Get the app for mobile"]
+# Notices are put together sentence by sentence.
+_NOTICES = {
+    "en": (
+        ["{this} is confidential{and}.", "{this} is intended only for the {who} to whom it is addressed.", "{this} may contain privileged information.", "Any {use} of it by others is {not}.", "Only the {who} may use or forward {this_}.", "You may not keep, copy or forward {this_} without our consent.", "If you are not the intended {who}, {do}.", "If you have received it in error, {do}.", "Views expressed here are those of the author and not of the employer.", "Nothing in {this_} is a binding offer or contract.", "We accept no liability for viruses in attachments.", "The firm is registered in {land} under number {n}.", "Think of the environment before printing.", "Save paper: do not print {this_}."],
+        {"this": ["This email", "This message", "This e-mail and its attachments", "The content of this mail", "The information above"], "this_": ["this message", "this email", "this mail"], "and": ["", " and may be privileged", " and protected by law"], "who": ["recipient", "addressee", "person", "named recipient"], "use": ["use", "copying", "disclosure", "distribution", "storage"], "not": ["prohibited", "not permitted", "unlawful", "forbidden"], "do": ["please delete it", "please notify the sender and delete it", "you may not copy or forward it", "tell us at once"], "land": ["England", "Ireland", "Delaware", "Wales"]},
+    ),
+    "de": (["Diese {x} ist vertraulich.", "Diese {x} ist nur für den {e} bestimmt.", "Wenn Sie nicht der richtige {e} sind, löschen Sie diese {x}.", "Haben Sie sie irrtümlich erhalten, informieren Sie bitte den Absender.", "Jede unbefugte Weitergabe ist untersagt.", "Der Inhalt ist rechtlich nicht verbindlich.", "Hinweis: Wir haften nicht für Viren in Anhängen.", "Bitte denken Sie vor dem Ausdruck an die Umwelt."], {"x": ["Mail", "E-Mail", "Nachricht"], "e": ["Empfänger", "Adressaten"]}),
+    "fr": (["Ce {x} est confidentiel.", "Ce {x} est réservé à ses destinataires.", "Si vous n'êtes pas le destinataire, veuillez le supprimer.", "En cas de réception par erreur, merci d'avertir l'expéditeur.", "Les avis exprimés sont ceux de leur auteur et n'engagent pas la société.", "Toute diffusion non autorisée est interdite.", "Nous déclinons toute responsabilité en cas de virus.", "Pensez à l'environnement avant d'imprimer ce {x}."], {"x": ["message", "courriel", "mail"]}),
+    "es": (["Este {x} es confidencial.", "Este {x} va dirigido solo a su destinatario.", "Si no es usted el destinatario, elimine este {x}.", "Si lo recibe por error, avise al remitente.", "Las opiniones son las de su autor.", "Queda prohibida su difusión sin permiso.", "No asumimos responsabilidad por virus.", "Cuide el medio ambiente: no imprima este {x} sin necesidad."], {"x": ["mensaje", "correo", "mail"]}),
+}
+
+
+def _filled(rng: random.Random, text: str, parts: dict[str, list[str]]) -> str:
+    return re.sub(r"\{(\w+)\}", lambda m: rng.choice(parts[m.group(1)]) if m.group(1) in parts else str(rng.randrange(1000, 99999)), text)
+
+
+def _notice(rng: random.Random) -> str:
+    """A disclaimer of one to four sentences, with or without a heading."""
+    kinds, parts = _NOTICES[rng.choice(["en", "en", "de", "fr", "es"])]
+    head = rng.choice(["", "", "", "DISCLAIMER: ", "Notice: ", "NOTICE: ", "Hinweis: ", "Avis : ", "Aviso legal: ", "Confidentiality notice: "])
+    out = head + " ".join(_filled(rng, x, parts) for x in rng.sample(kinds, rng.choice([1, 1, 2, 3, 4])))
+    return out.upper() if rng.random() < 0.05 else out
+
+
+def _role(rng: random.Random) -> str:
+    return rng.choice(_SHORT_ROLES).format(r=rng.choice(_RANKS), j=rng.choice(_JOBS), u=rng.choice(_UNITS), u2=rng.choice(_UNITS)).strip()
+
+
 _MARKS = ["-----Original Message-----", "-----ORIGINAL MESSAGE-----", " ----- Original Message -----", "------------ Forwarded ------------", "---------------------- Forwarded by {n} on 11/07/2018 ----", "---------- Forwarded message ---------", "Begin forwarded message:", "-----Ursprüngliche Nachricht-----", "---------- Weitergeleitete Nachricht ---------", "---------- Message transféré ----------", "---------- Mensaje reenviado ----------"]
-_INTROS = ["{n} wrote on 2019-08-19:", "On Jan 31, 2019, at 15:23, {n} wrote:", "On Tue, 4 May 2010, {n} said:", "Am 8. März 2019 um 07:00 schrieb {n}:", "{n} schrieb am 25.03.2014:", "{n} escribió el 17/02/2018:", "Le 4 mai 2016 à 10:12, {n} a écrit :", "{n} a écrit le 04/05/2016 :", "El 17/02/2018 9:15, {n} escribió:", "In an earlier mail {n} said:"]
-_TRAPS = ["Please keep this confidential until the launch, the message is not final.", "-- that dash at the start is on purpose, by the way.", "From: is the only header we should print in the booklet.", "She wrote on the envelope that it was late.", "Thanks to the new template, nobody was late.", "The best part was the ending.", "I sent this from the train, so be kind.", "* the first point stays", "You asked: what next? Nothing."]
+_INTROS = ["{n} wrote on 2019-08-19:", "On Jan 31, 2019, at 15:23, {n} wrote:", "On Tue, 4 May 2010, {n} said:", "Am 8. März 2019 um 07:00 schrieb {n}:", "{n} schrieb am 25.03.2014:", "{n} escribió el 17/02/2018:", "Le 4 mai 2016 à 10:12, {n} a écrit :", "{n} a écrit le 04/05/2016 :", "El 17/02/2018 9:15, {n} escribió:", "In an earlier mail {n} said:", "Quoting {n} <someone@house.example>:", "{n} <someone@house.example> wrote:"]
+# Own sentences that look like something else.
+_TRAPS = ["I must ask you to treat these figures as confidential for now.", "-- just to be clear, none of this is decided.", "- first we pack, then we leave", "Subject: that is what I forgot to fill in, sorry.", "To: whom should it go, do you know?", "He wrote in the margin that the date was wrong.", "Many thanks to everyone who stayed until the end.", "Best of all was the last part.", "I am writing this on my phone, so there may be errors.", "* bring the keys and the second list", "My question is this: who pays?", "Did you delete the old copy in error, or was it me?", "Regards are all very well, but an answer would be better.", "What she said was clear: no."]
 _HEADS = [("From", "Sent", "To", "Subject"), ("Von", "Gesendet", "An", "Betreff"), ("De", "Envoyé", "À", "Objet"), ("De", "Enviado", "Para", "Asunto")]
 
 
@@ -266,7 +295,7 @@ def make_mail(rng: random.Random, sentences: list[str]) -> tuple[list[str], list
         return rng.choice([me[0], f"{me[0]} {me[1]}", me[0][0] + ".", "/" + me[0], f"{me[0]} {me[1]}"])
 
     def contact() -> None:
-        for x in rng.sample([rng.choice(_ROLES), rng.choice(_ROLES), rng.choice(["www.", "https://"]) + "house.example", rng.choice(["Tel. ", "T ", "m: ", "☎ ", "T +"]) + rng.choice(["919.555.0105", "+44 (0)113 496 0802", "30 23125 722", "(0) 555-0101"])], rng.randrange(1, 4)):
+        for x in rng.sample([_role(rng), _role(rng), rng.choice(["www.", "https://"]) + "house.example", rng.choice(["Tel. ", "T ", "m: ", "☎ ", "T +"]) + rng.choice(["919.555.0105", "+44 (0)113 496 0802", "30 23125 722", "(0) 555-0101"])], rng.randrange(1, 4)):
             put(x, "signature")
 
     def sign() -> None:
@@ -291,12 +320,12 @@ def make_mail(rng: random.Random, sentences: list[str]) -> tuple[list[str], list
                 put(x, "new")
         if rng.random() < 0.2:
             put("", "")
-            put(rng.choice(_DEVICES), "disclaimer")
+            put(rng.choice(_DEVICE_LINES).format(g=rng.choice(_GADGETS)), "disclaimer")
         if rng.random() < 0.3:
             put("", "")
             if rng.random() < 0.4:
                 put(rng.choice(["=" * 40, "*" * 30, "_" * 32, "-" * 20, "* * *"]), "disclaimer")
-            for x in _wrap(rng.choice(_DISCLAIMERS), rng.choice([55, 65, 72, 400])):
+            for x in _wrap(_notice(rng), rng.choice([55, 65, 72, 400])):
                 put(x, "disclaimer")
 
     def body_of_quote(prefix: str) -> None:
@@ -333,12 +362,16 @@ def make_mail(rng: random.Random, sentences: list[str]) -> tuple[list[str], list
         put("", "")
         body_of_quote("")
 
-    prefix = rng.choice(["> ", ">", "| ", "    ", "\t", "> ", ">> "])
+    prefix = rng.choice(["> ", ">", "| ", "    ", "\t", "> ", ">> ", f"{you[0][0]}{you[1][0].upper()}> "])
     shape = rng.random()
     if shape < 0.15:  # quote first, own text below
         intro()
         body_of_quote(prefix if prefix.strip() else "> ")
         put("", "")
+        if rng.random() < 0.6:
+            put(rng.choice(_GREETINGS).format(n=you[0]), "new")
+            if rng.random() < 0.6:
+                put("", "")
         own(rng.randrange(1, 3))
         sign()
         extras()

@@ -149,6 +149,20 @@ def test_mail_lines_held_out():
     assert [k for k, label in mail.label_mail(text, model) if label == "new"] == [3, 5]
 
 
+def test_mail_wording_that_the_trainer_never_saw():
+    """Parts of mails written for this test, in words that the made ones do not have."""
+    model = mail.train(["H: x\n\n" + " ".join(SENTENCES)], made=800)
+    head = "From: berta.ohm@x.example\nSubject: y\n\n"
+    parts = [
+        ("Morgen Jutta,\n\nThe roof is tight again.\n\nWarmly,\nBerta\n\n--\nBerta Ohm\nHead Gardener, Parks and Trees\nwww.parks.example\n\nThe contents of this mail are meant solely for the named recipient and any disclosure is unauthorised.\nKindly notify us and delete all copies.", {4, 6}),
+        ("The roof is tight again, so come in.\n\nSent from my wristwatch", {4}),
+        ("Jutta Pohl <j@x.example> wrote:\n> is the roof tight\n> or not\n\nHello Jutta,\n\nYes, since Monday it is tight.", {8, 10}),
+        ("Yes, since Monday it is tight.\n\n-----Original Message-----\nFrom: Jutta\nSent: Monday\nTo: Berta\nSubject: roof\n\nIs the roof tight, or do we wait?", {4}),
+    ]
+    for body, want in parts:
+        assert {k for k, label in mail.label_mail(head + body, model) if label == "new"} == want, body
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------
 
 
@@ -252,6 +266,7 @@ def test_mix(spark):
 # --- 10 ----------------------------------------------------------------------------------------------------
 
 NAMES = (frozenset({"Rafe", "Frank", "Mirela"}), frozenset({"Harrowgill", "Van der Osterwyn", "de la Rocavert", "O'Kellerin"}))
+KNOWN = lambda g, f: g in NAMES[0] and f in NAMES[1]
 
 
 @pytest.mark.parametrize(("text", "want"), [
@@ -269,7 +284,7 @@ NAMES = (frozenset({"Rafe", "Frank", "Mirela"}), frozenset({"Harrowgill", "Van d
     ("ｒａｆｅ＠kontor.example", [("email", "ｒａｆｅ＠kontor.example")]), ("", []),
 ])
 def test_pii(text, want):
-    assert sorted({(k, text[a:b]) for a, b, k in pii.find(text, *NAMES)}) == sorted(want)
+    assert sorted({(k, text[a:b]) for a, b, k in pii.find(text, KNOWN)}) == sorted(want)
 
 
 def test_pii_tables(spark):
@@ -277,7 +292,8 @@ def test_pii_tables(spark):
     docs += [(50 + i, f"Thanks to Dora {f}.") for i, f in enumerate(("Foxley", "Garmond", "Hillsby"))] + [(90, "Ana Lysis is a word game."), (91, None), (92, "")]
     d, g = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("Ana",), ("Bea",), ("Cleo",), (None,)], "given_name string")
     names = pii.learn_names(d, g)
-    assert "Dora" in names[0] and names[1] == {"Foxley", "Garmond", "Hillsby"}
+    known = [{r[0] for r in x.collect()} for x in names]
+    assert "Dora" in known[0] and known[1] == {"Foxley", "Garmond", "Hillsby"}
     got = {r.doc_id for r in pii.findings(d, names).collect()}
     assert got == set(range(9)) | {50, 51, 52}
     red = {r.doc_id: r.text for r in pii.redacted(d, names).collect()}
@@ -293,5 +309,26 @@ def test_names_by_ratio_at_every_size(spark):
         texts = (one + chance + rest * 9) * times
         d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         names = pii.learn_names(d, g)
-        assert names[1] == {"Grandvoile"} and names[0] == {"Ana", "Bea", "Cleo", "Frank", "Quorin"}
-        assert [{t[a:e] for a, e, _ in pii.find(t, *names)} for t in texts[:3]] == [{"Ana Grandvoile"}, set(), {"Quorin L. Grandvoile"}]
+        given, family = ({r[0] for r in x.collect()} for x in names)
+        assert family == {"Grandvoile"} and given == {"Ana", "Bea", "Cleo", "Frank", "Quorin"}
+        assert [{t[a:e] for a, e, _ in pii.find(t, lambda x, y: x in given and y in family)} for t in texts[:3]] == [{"Ana Grandvoile"}, set(), {"Quorin L. Grandvoile"}]
+
+
+def test_more_names_than_memory_holds(spark, monkeypatch):
+    docs = [(i, f"Yesterday I met Ana Grandvoile and {g} Okonjwe, said {g} Tellmore.") for i, g in enumerate(["Ana", "Rafe", "Ilka"])] + [(9, None), (10, "ANA GRANDVOILE called 020 7946 0378.")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    g = spark.createDataFrame([("Ana",), ("Rafe",), ("Ilka",)], "given_name string")
+    names = pii.learn_names(d, g)
+    few = sorted(map(tuple, pii.findings(d, names).collect())), sorted(map(tuple, pii.redacted(d, names).fillna("").collect()))
+    monkeypatch.setattr(pii, "NAMES", 1)
+    many = sorted(map(tuple, pii.findings(d, names).collect())), sorted(map(tuple, pii.redacted(d, names).fillna("").collect()))
+    assert few == many and len(few[0]) > 5
+
+
+def test_numbers_by_what_stands_around_them():
+    for text, want in (
+        ("His tax id: 943163712 was on the form.", "id_number"), ("El teléfono de la tienda es 943163712, por si quieres llamar para reservar.", "phone"), ("The permit 943163712 was issued in May.", "id_number"),
+        ("You will find the form in the hall, and the 943163712 is what it says on it.", "id_number"), ("Puedes ir con las cajas que están por la tarde, el 943163712 para todo.", "phone"),
+    ):
+        assert [k for _, _, k in pii.find(text, KNOWN)] == [want], text
+    assert [k for _, _, k in pii.find("We met at 12 Mill Lane, near the 14 Mill Lane Bakery.", KNOWN)] == ["address"]
