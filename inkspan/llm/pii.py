@@ -18,15 +18,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.tables import bounded_rows, cut
+from inkspan.tables import bounded_rows, cut, small_side
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-#: Most learnt names held in memory; of so many capitalised uses of a family name, one at least follows a given name.
+#: Most listed given names, and most names of each kind held in memory (more are joined); of so many capitalised uses of a family name, one at least follows a given name.
 NAMES, NAME_LIKE = 200_000, 5
 
 # Look-alikes of Latin letters, and digits as words.
@@ -79,15 +80,20 @@ _IDS = [
     r"\d{2}[A-Z]{2}\d{5}",
 ]
 _ID = re.compile(_L + "(?:" + "|".join(_IDS) + ")" + _R)
-_PHONE_CUE = re.compile(r"(?i)(tel|phone|fax|call|ruf|appel|llam|móvil|mobile|handy|line,|nummer ist|numéro est|número es|number is|text me|reach|ring|☎|\bT|\bm:)[^.\n]{0,24}$")
-_ID_CUE = re.compile(r"(?i)(\bid|ssn|social|insurance|tax|steuer|ausweis|passe?port|pasaporte|dni|nif|nie|identi\w+|sécurité|documento|clerk typed|expired|carnet)\b[^\n]{0,24}$")
-_ID_AFTER = re.compile(r"(?i)^,? ?(expired|ist abgelaufen|périmé|caduc|figurait|where the name)")
+_PHONE_CUE = re.compile(r"(?i)(tel|phone|fax|call|ruf|appel|llam|móvil|mobile|handy|line|nummer ist|numéro est|número es|number is|text me|reach|ring|☎|(?-i:\bT\b)|\bm:)[^.\n]{0,24}$")
+_ID_CUE = re.compile(r"(?i)(\bid|ssn|social|insurance|tax|steuer|ausweis|passe?port|pasaporte|dni|nif|nie|identi\w+|sécurité|documento|carnet|licen[cs]e)\b[^\n]{0,24}$")
+_ID_AFTER = re.compile(r"(?i)^,? ?(?:(?:has|had|is|was|ist|war|est|a|était|ha|está|fue) )?(?:expired?|expires|issued|revoked|abgelaufen|ausgestellt|gültig|périmée?|expirée?|délivrée?|caduc\w+|vencid\w+|expedid\w+)")
+#: Words of Spanish, whose country writes its phone numbers with nine digits, and of the other languages.
+_OTHERS = re.compile(r"(?i)(?<!\w)(?:the|and|of|to|is|was|it|der|die|das|und|ist|nicht|le|les|et|est|une|dans|pour)(?!\w)")
+_SPANISH = re.compile(r"(?i)(?<!\w)(?:el|los|las|que|una|por|con|para|del|como|pero|muy|está)(?!\w)")
 _PHONE_11 = re.compile(r"07\d{9}|01[567]\d{8}|030\d{8}|020\d{8}")
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\wà-öø-ÿ’'-]*"
 _EN = r"(?:Street|Road|Lane|Avenue|Drive|Crescent|Hill|Row|Close|Court|Place|Square|Terrace|Way|Walk|Gardens|Grove|Mews|Parade|Boulevard|Alley|Quay|Yard|Rise|Green|View|Bank|Hollow|St\.|Rd\.?|Ave\.?|Ln\.?|Dr\.|Blvd\.?)"
+# What bears a street's name and is no address.
+_THINGS = r"(?:Festival|Choir|Press|Books|School|Academy|Club|Band|Gallery|Theatre|Cinema|Hotel|Inn|Café|Bakery|Library|Museum|Society|Association|Group|Project|Station|Church|Records|Review|Quartet|Orchestra|Company|Hospital|Surgery|Stadium)"
 _ADDRESS = re.compile(
-    rf"(?<![\w#/.,-])\d{{1,5}}[A-Za-z]?,? (?:{_CAP} ){{1,3}}{_EN}(?![\w-])(?! (?:Festival|Choir|Press|Books))"
+    rf"(?<![\w#/.,-])\d{{1,5}}[A-Za-z]?,? (?:{_CAP} ){{1,3}}{_EN}(?![\w-])(?! {_THINGS}(?!\w))"
     rf"|(?<![\w#/.,-])\d{{1,5}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:[Rr]ue|[Aa]venue|[Cc]hemin|[Ii]mpasse|[Pp]lace|[Bb]oulevard|[Qq]uai|[Aa]llée|[Rr]oute|[Pp]assage|[Cc]ours|[Ss]quare)(?: (?:de la |de l['’]|du |des |de |d['’]|la |le |les )?{_CAP})(?:(?! (?:Tél|Tel|Mail|Courriel|Fax|Adresse)) {_CAP}(?=[.,;:!?\n)]|$))?"
     rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Camino|Ronda|Travesía|Callejón|Carrera|Glorieta|C/|Avda\.?)(?: (?:de la|de las|de los|del|de))?(?: {_CAP}){{1,3}},? (?:n\.?º ?)?\d{{1,5}}(?: ?(?:bis|[A-D]))?(?![\w/.-]\d|\w)"
     rf"|(?<!\w){_CAP}(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm|ring|steig|pfad|markt|chaussee|hof|graben|stieg) \d{{1,5}} ?[a-dA-D]?(?![\w/.-]\d|\w)"
@@ -158,8 +164,19 @@ def normalise(text: str) -> tuple[str, list[int]]:
     return s, at
 
 
-def find(text: str, givens: frozenset[str], families: frozenset[str]) -> list[tuple[int, int, str]]:
-    """(start, end, type) in source offsets, in order, without overlaps."""
+Named = Callable[[str, str], bool]
+
+
+def name_pairs(s: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, given, family) of all places of a normal form where a name may stand."""
+    out = [(m.start(1), m.end(2), m.group(1), m.group(2).replace("’", "'")) for m in _NAME.finditer(s)]
+    if re.search(r"[A-ZÀ-Þ]{3}", s):
+        out += [(m.start(1), m.end(2), _title(m.group(1)), _title(m.group(2)).replace("’", "'")) for m in _SHOUT.finditer(s)]
+    return out
+
+
+def find(text: str, named: Named) -> list[tuple[int, int, str]]:
+    """(start, end, type) in source offsets, in order, without overlaps. named: whether a given and a family name are a person's."""
     s, at = normalise(text)
     got: list[tuple[int, int, str]] = []
     for m in _EMAIL.finditer(s):
@@ -172,13 +189,7 @@ def find(text: str, givens: frozenset[str], families: frozenset[str]) -> list[tu
         for m in _ADDRESS.finditer(s):
             end = m.end()
             got.append((m.start(), end, "address"))
-    for m in _NAME.finditer(s):
-        g, f = m.group(1), m.group(2)
-        if g in givens and f.replace("’", "'") in families:
-            got.append((m.start(1), m.end(2), "name"))
-    for m in _SHOUT.finditer(s) if s.upper() != s.lower() and re.search(r"[A-ZÀ-Þ]{3}", s) else ():
-        if _title(m.group(1)) in givens and _title(m.group(2)).replace("’", "'") in families:
-            got.append((m.start(1), m.end(2), "name"))
+    got += [(a, b, "name") for a, b, g, f in name_pairs(s) if named(g, f)]
     got.sort(key=lambda x: (x[0] - x[1], x[0], TYPES.index(x[2])))
     taken, out = [], []
     for a, b, kind in got:
@@ -210,7 +221,10 @@ def _number_type(s: str, a: int, b: int, kind: str) -> str:
         return "phone"
     if len(digits) == 11:
         return "phone" if _PHONE_11.fullmatch(digits) and " " not in n else "id_number"
-    return "phone" if re.fullmatch(r"[6-9]\d0000\d{3}|[678]\d{8}", digits) else "id_number"
+    if digits[0] in "678":
+        return "phone"
+    around = s[max(0, a - 300) : b + 100]
+    return "phone" if digits[0] == "9" and len(_SPANISH.findall(around)) > len(_OTHERS.findall(around)) else "id_number"
 
 
 #: What stands before a name and not before a sentence's first words: a word in lower case, a comma, a label, a title with a point.
@@ -241,8 +255,8 @@ def _evidence(text: str, listed: frozenset[str]) -> tuple[set[tuple[str, str, in
     return pairs, words
 
 
-def learn_names(docs: DataFrame, given_names: DataFrame, text: str = "text") -> tuple[frozenset[str], frozenset[str]]:
-    """Given and family names: the listed ones, and those that the whole corpus shows beside each other.
+def learn_names(docs: DataFrame, given_names: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Given (g) and family names (f): the listed ones, and those that the whole corpus shows beside each other.
 
     All evidence is a ratio of documents, so it does not depend on how many there are.
     """
@@ -265,53 +279,71 @@ def learn_names(docs: DataFrame, given_names: DataFrame, text: str = "text") ->
     uses = seen.where("f is null").groupBy(F.col("a").alias("w")).agg(*[F.sum(F.when(F.col("at") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "cap"), (0, "low"))])
     near = both.select(F.explode(F.array("g", "last")).alias("w")).distinct()
     uses = cut(uses.join(near, "w", "left_semi"))
-    known = docs.sparkSession.createDataFrame([(g,) for g in listed] or [("",)], "g string")
+    first = known = docs.sparkSession.createDataFrame([(g,) for g in listed] or [("",)], "g string")
     for _ in range(2):
-        shown = both.join(F.broadcast(known), "g", "left_semi").groupBy("f", "last").agg(F.sum("inside").alias("inside"), F.sum(F.col("inside") + F.col("open")).alias("like"), F.sum("thing").alias("thing"))
+        shown = both.join(small_side(known), "g", "left_semi").groupBy("f", "last").agg(F.sum("inside").alias("inside"), F.sum(F.col("inside") + F.col("open")).alias("like"), F.sum("thing").alias("thing"))
         shown = shown.join(uses.withColumnRenamed("w", "last"), "last", "left").na.fill(0, ["cap", "low"])
         plain = (F.col("low") <= F.col("like")) | (2 * F.col("inside") >= F.col("like"))  # an ordinary word needs a place inside a sentence
         families = shown.where((F.col("like") > F.col("thing")) & (NAME_LIKE * F.col("like") >= F.col("cap")) & plain & ~F.lower("f").isin(*TITLES)).select("f")
         before = both.join(families, "f", "left_semi").groupBy("g").agg(F.sum(F.col("inside") + F.col("open")).alias("like"))
         before = before.join(uses.withColumnRenamed("w", "g"), "g", "left").na.fill(0, ["cap", "low"])
         more = before.where((2 * F.col("like") >= F.col("cap")) & (F.col("low") <= F.col("like")) & (F.col("like") > 0) & ~F.lower("g").isin(*TITLES)).select("g")
-        givens = {r[0] for r in bounded_rows(more, NAMES, "learnt given names")} | set(listed)
-        known = docs.sparkSession.createDataFrame([(g,) for g in sorted(givens)] or [("",)], "g string")
-    return frozenset(givens), frozenset(r[0] for r in bounded_rows(families, NAMES, "learnt family names"))
+        known = cut(more.unionByName(first).distinct())
+    return known, cut(families.distinct())
 
 
-def findings(docs: DataFrame, names: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
-    """doc_id, pii_type, found: each exact string once a document."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+def _judged(docs: DataFrame, names: tuple[DataFrame, DataFrame], run: Callable, schema: str) -> DataFrame:
+    """``run(batch, judges)`` over docs, with a judge of names for each row. Names are held in memory while they are few and joined to each document's pairs beyond."""
+    known, families = names
+    if all(x.limit(NAMES + 1).count() <= NAMES for x in names):
+        shared = docs.sparkSession.sparkContext.broadcast((frozenset(r.g for r in known.collect()), frozenset(r.f for r in families.collect())))
 
-    def run(batches):
-        givens, families = shared.value
+        def few(batches):
+            g, f = shared.value
+            for b in batches:
+                yield run(b, [lambda x, y: x in g and y in f] * len(b))
+
+        return docs.select("doc_id", "text").mapInPandas(few, schema)
+
+    def pairs(batches):
         for b in batches:
-            out = [(d, k, f) for d, t in zip(b.doc_id, b.text) if isinstance(t, str) for k, f in sorted({(k, t[a:e]) for a, e, k in find(t, givens, families)})]
-            yield pd.DataFrame(out, columns=["doc_id", "pii_type", "found"])
+            out = {(i, g, f) for i, t in zip(b["_row"], b["text"]) if isinstance(t, str) for _, _, g, f in name_pairs(normalise(t)[0])}
+            yield pd.DataFrame(list(out), columns=["_row", "g", "f"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pii_type string, found string")
+    def many(batches):
+        for b in batches:
+            sets = [frozenset(map(tuple, p)) if p is not None else frozenset() for p in b["_pairs"]]
+            yield run(b, [lambda x, y, s=s: (x, y) in s for s in sets])
+
+    rows = cut(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+    met = rows.select("_row", "text").mapInPandas(pairs, "_row long, g string, f string").join(known, "g", "left_semi").join(families, "f", "left_semi")
+    met = met.groupBy("_row").agg(F.collect_list(F.array("g", "f")).alias("_pairs"))
+    return rows.join(met, "_row", "left").select("doc_id", "text", "_pairs").mapInPandas(many, schema)
+
+
+def findings(docs: DataFrame, names: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """doc_id, pii_type, found: each exact string once a document."""
 
+    def run(b: pd.DataFrame, judges: list[Named]) -> pd.DataFrame:
+        out = [(d, k, f) for d, t, named in zip(b["doc_id"], b["text"], judges) if isinstance(t, str) for k, f in sorted({(k, t[a:e]) for a, e, k in find(t, named)})]
+        return pd.DataFrame(out, columns=["doc_id", "pii_type", "found"])
 
-def redacted(docs: DataFrame, names: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
+    return _judged(docs, names, run, "doc_id long, pii_type string, found string")
+
+
+def redacted(docs: DataFrame, names: tuple[DataFrame, DataFrame]) -> DataFrame:
     """doc_id, text, n_replaced: each finding replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
 
-    def run(batches):
-        givens, families = shared.value
-        for b in batches:
-            texts, counts = [], []
-            for t in b.text:
-                if not isinstance(t, str):
-                    texts.append(None)
-                    counts.append(0)
-                    continue
-                spans = find(t, givens, families)
-                out, at = [], 0
-                for a, e, k in spans:
-                    out += [t[at:a], f"[{k.upper()}]"]
-                    at = e
-                texts.append("".join([*out, t[at:]]))
-                counts.append(len(spans))
-            yield pd.DataFrame({"doc_id": b.doc_id, "text": pd.Series(texts, dtype=object), "n_replaced": pd.Series(counts, dtype="int32")})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, n_replaced int")
+    def run(b: pd.DataFrame, judges: list[Named]) -> pd.DataFrame:
+        texts, counts = [], []
+        for t, named in zip(b["text"], judges):
+            spans = find(t, named) if isinstance(t, str) else []
+            out, at = [], 0
+            for a, e, k in spans:
+                out += [t[at:a], f"[{k.upper()}]"]
+                at = e
+            texts.append("".join([*out, t[at:]]) if isinstance(t, str) else None)
+            counts.append(len(spans))
+        return pd.DataFrame({"doc_id": b["doc_id"], "text": pd.Series(texts, dtype=object, index=b.index), "n_replaced": pd.Series(counts, dtype="int32", index=b.index)})
+
+    return _judged(docs, names, run, "doc_id long, text string, n_replaced int")
