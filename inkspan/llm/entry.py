@@ -73,7 +73,7 @@ def p6_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Size of the sample of posts.
-SAMPLE_SIZE = 5000
+SAMPLE_SIZE = 1000
 
 
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +97,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Each leaked stretch with its coverage and its place."""
-    return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).drop("run")
 
 
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:

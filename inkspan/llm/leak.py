@@ -5,7 +5,7 @@ at each word is tracked, with the shorter ones of items that the longest does no
 in one pass. An item whose spans cover enough is checked exactly: one stretch of the document, in the item's order, with at most
 one word in eight changed, missing or added.
 
-Only the items are broadcast, and their size is checked. Defined results: null and empty documents match nothing; an item
+Only automata of the items are broadcast, each of a bounded size. Defined results: null and empty documents match nothing; an item
 without words is ignored; equal items each count; a document is read whole; every stretch of an item comes, also several in one document.
 """
 
@@ -15,16 +15,19 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from inkspan.tables import bounded_rows
+from inkspan.tables import cut
 
-#: Most items that are held in one automaton.
-ITEMS = 50_000
+#: Words of items that one automaton holds; more items make more automata.
+SHARD_WORDS = 1_000_000
+SCHEMA = "doc_id long, item_id long, coverage double, start int, end int, run int"
 #: Share of an item's words that makes a leak; one word in EDIT may differ; spans of SEED words and more are gathered.
 COVERAGE, EDIT, SEED = 0.3, 8, 3
 #: Coverage that a stretch has with its edits allowed; so many equal words in a row leak whatever share of the item they are.
@@ -245,40 +248,77 @@ class Matcher:
         return out
 
 
+def matchers(items: DataFrame, words: int | None = None) -> Iterator[Matcher]:
+    """Matchers over all items, each for as many as hold ``words`` words together: any number of items is searched, in as many passes as that takes."""
+    part: list[tuple[int, str]] = []
+    room = words = words or SHARD_WORDS
+    for r in items.where("text is not null").select("item_id", "text").toLocalIterator():
+        n = len(r.text.split())
+        if part and n > room:
+            yield Matcher(part)
+            part, room = [], words
+        part.append((r.item_id, r.text))
+        room -= n
+    if part:
+        yield Matcher(part)
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, start, end of every leaked stretch of ``items`` (item_id, text) in ``docs`` (doc_id, text).
+    """doc_id, item_id, coverage, start, end, run of every leaked stretch of ``items`` (item_id, text) in ``docs`` (doc_id, text); run: most equal words in a row.
 
     An item has a row for each of its stretches. Those with less than ``ENOUGH`` coverage are there for their length only.
+    The automaton is built once and read by each worker once.
     """
-    rows = [(r.item_id, r.text) for r in bounded_rows(items.where("text is not null").select("item_id", "text"), ITEMS, "evaluation items")]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    spark = docs.sparkSession
+    found = None
+    for matcher in matchers(items):
+        shared = spark.sparkContext.broadcast(matcher)
 
-    def run(batches):
-        matcher = Matcher(shared.value)
-        for b in batches:
-            out = [(d, *x) for d, t in zip(b.doc_id, b.text) if isinstance(t, str) for x in (r[:4] for r in matcher.leaks(t))]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "start", "end"])
+        def run(batches, shared=shared):
+            for b in batches:
+                out = [(d, *x) for d, t in zip(b.doc_id, b.text) if isinstance(t, str) for x in shared.value.leaks(t)]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "start", "end", "run"])
+
+        part = docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], SCHEMA) if found is None else found
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, coverage double, start int, end int")
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, most: float = COVERAGE) -> DataFrame:
     """doc_id, text, removed: the documents with every leaked stretch of at least ``most`` of an item, or with LENGTH equal words in a row, cut out, and how many were."""
-    rows = [(r.item_id, r.text) for r in bounded_rows(items.where("text is not null").select("item_id", "text"), ITEMS, "evaluation items")]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def clean(matcher: Matcher, text: str) -> tuple[str, int]:
-        spans = sorted((a, b) for _, share, a, b, run in matcher.leaks(text) if share >= most * (1 - 1 / EDIT) or run >= LENGTH)
-        out, at = [], 0
-        for a, b in spans:
-            out.append(text[at : max(at, a)])
-            at = max(at, b)
-        return "".join([*out, text[at:]]), len(spans)
-
-    def run(batches):
-        matcher = Matcher(shared.value)
+    spark = docs.sparkSession
+    every = matchers(items)
+    matcher, more = next(every, None), next(every, None)
+    if more is None:
+        shared = spark.sparkContext.broadcast(matcher)
+
+        def run(batches):
+            for b in batches:
+                spans = [[(a, e) for _, share, a, e, n in shared.value.leaks(t) if _cut_out(share, n, most)] if shared.value and isinstance(t, str) else [] for t in b.text]
+                texts = [without_spans(t, s) if isinstance(t, str) else None for t, s in zip(b.text, spans)]
+                yield pd.DataFrame({"doc_id": b.doc_id, "text": pd.Series(texts, dtype=object, index=b.index), "removed": pd.Series([len(s) for s in spans], dtype="int32", index=b.index)})
+
+        return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, removed int")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("_own"), "text"))
+    bad = leaks(rows, items).where((F.col("coverage") >= most * (1 - 1 / EDIT)) | (F.col("run") >= LENGTH))
+    bad = bad.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+
+    def clean(batches):
         for b in batches:
-            got = [clean(matcher, t) if isinstance(t, str) else (None, 0) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "text": pd.Series([g[0] for g in got], dtype=object), "removed": pd.Series([g[1] for g in got], dtype="int32")})
+            spans = [[(x["start"], x["end"]) for x in s] if s is not None else [] for s in b["_spans"]]
+            texts = [without_spans(t, s) if isinstance(t, str) else None for t, s in zip(b["text"], spans)]
+            yield pd.DataFrame({"doc_id": b["_own"], "text": pd.Series(texts, dtype=object, index=b.index), "removed": pd.Series([len(s) for s in spans], dtype="int32", index=b.index)})
+
+    return rows.join(bad, "doc_id", "left").select("_own", "text", "_spans").mapInPandas(clean, "doc_id long, text string, removed int")
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, removed int")
+def _cut_out(share: float, run: int, most: float) -> bool:
+    return share >= most * (1 - 1 / EDIT) or run >= LENGTH

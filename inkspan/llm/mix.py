@@ -14,27 +14,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.tables import bounded_rows, cut
+from inkspan.tables import bounded_rows, cut, small_side
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Most sources a mix may have.
 SOURCES = 100_000
 
 
-def token_counts(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """docs without ``text`` and with n_tokens. tokenizer: the path of a .tiktoken file."""
+def token_counts(docs: DataFrame, text: str = "text", tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs without ``text`` and with n_tokens. tokenizer: the path of a .tiktoken file; pattern: how it splits a text. Without them, those of the public vocabulary."""
     keep = [c for c in docs.columns if c != text]
 
     def run(batches):
         import base64
 
-        import public_tokenizers as public
         import tiktoken
 
-        path = tokenizer or public.path(TOKENIZER)
+        path, split = tokenizer, pattern
+        if path is None or split is None:
+            import public_tokenizers as public
+
+            path, split = path or public.path(TOKENIZER), split or public.PATTERN
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("mix", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("mix", pat_str=split, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             out = b[keep].copy()
             out["n_tokens"] = pd.Series([len(enc.encode_ordinary(t)) if isinstance(t, str) else 0 for t in b[text]], index=b.index, dtype="int64")
@@ -70,7 +73,7 @@ def plan(counted: DataFrame, targets: DataFrame, budget: float | None = None) ->
 
 def counted_documents(docs: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens of the documents that can be mixed, written once."""
-    with_target = docs.where("text is not null and source is not null").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    with_target = docs.where("text is not null and source is not null").select("doc_id", "source", "text").join(small_side(targets.select("source").distinct()), "source", "left_semi")
     return cut(token_counts(with_target, "text", tokenizer))
 
 
@@ -80,7 +83,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 42, budget: float |
     spark = counted.sparkSession
     rates = spark.createDataFrame([(s, int(r + 1e-12), r - int(r + 1e-12)) for s, r in sorted(uses.items())], "source string, whole int, part double")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    x = counted.join(F.broadcast(rates), "source")
+    x = counted.join(small_side(rates), "source")
     x = x.withColumn("uses", F.col("whole") + F.when(draw < F.col("part"), 1).otherwise(0))
     return x.where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
 

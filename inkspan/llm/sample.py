@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.tables import small_side
+from inkspan.tables import cut, small_side
 
 
 def uniform_key(seed: int, identity: Column) -> Column:
@@ -48,5 +48,5 @@ def merge(parts: DataFrame, k: int) -> DataFrame:
 def draw(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
     """k rows of df, each set of k equally likely, with their ``sample_key``. ``id_col``: a unique long."""
     keyed = df.select(uniform_key(seed, F.col(id_col)).alias("sample_key"), F.col(id_col).cast("long").alias("id"))
-    won = merge(heaps(keyed, max(0, k)), k).withColumnRenamed("id", "_won")
+    won = cut(merge(heaps(keyed, max(0, k)), k).withColumnRenamed("id", "_won"))  # written, so that the heaps are filled once
     return df.join(small_side(won), df[id_col] == F.col("_won")).drop("_won")
