@@ -67,6 +67,19 @@ def test_lost_character_beside_a_sound_one(spark):
         assert set(got) == {"0", "1"} and all(encoding.LOST in t and not w for t, w in got.values())
 
 
+def test_restored_by_place(spark):
+    texts = [("un vÃ©lo2go ici", "un vélo2go ici"), ("na\ufffdve and \ufffd14, r\ufffdsum\ufffd", "naïve and €14, résumé"), ("So fun ðŸ˜€ and (cafÃ©) 12Ã©3", "So fun 😀 and (café) 12é3"), ("Ã©tÃ© vÃ©lo", "été vélo"), ("\ufffd alone", "\ufffd alone")]
+    known = ["naïve résumé café", "it cost €14 or €33"] * 6
+    df = spark.createDataFrame([("t", str(i), "text", s) for i, s in enumerate([a for a, _ in texts] + known)], "tbl string, rec string, field string, body string")
+    got = {int(r.rec): (r.restored, r.whole) for r in encoding.restore(df).collect()}
+    assert got == {i: (b, "\ufffd" not in b) for i, (_, b) in enumerate(texts)}
+
+
+def test_sound_words_have_no_reading():
+    for w in ("naïve", "Überweisung", "“quoted”", "—", "日本語", "привет", "😀", "l’été", "ÉTÉ", "señor", "½", "ßßß", "Łódź"):
+        assert not [r for r in encoding.readings(w) if r[1] == "utf8"], w
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------
 
 
@@ -332,3 +345,16 @@ def test_numbers_by_what_stands_around_them():
     ):
         assert [k for _, _, k in pii.find(text, KNOWN)] == [want], text
     assert [k for _, _, k in pii.find("We met at 12 Mill Lane, near the 14 Mill Lane Bakery.", KNOWN)] == ["address"]
+
+
+def test_any_number_of_items(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = lambda: " ".join(rng.choice(["ember", "lantern", "quarry", "willow", "copper", "saddle", "meadow", "thimble"]) + str(rng.randrange(50)) for _ in range(30))
+    items = [(i, passage()) for i in range(9)] + [(90, None), (91, "")]
+    docs = [(i, f"before it all {t} and then {items[(i + 1) % 9][1]} after") for i, t in items[:9]] + [(50, None), (51, ""), (50, items[0][1])]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(tuple("" if v is None else v for v in r) for r in df.collect())
+    one = key(leak.leaks(d, it)), key(leak.without_leaks(d, it))
+    monkeypatch.setattr(leak, "SHARD_WORDS", 70)
+    assert (key(leak.leaks(d, it)), key(leak.without_leaks(d, it))) == one and len(one[0]) == 19
+    assert leak.leaks(d, it.where("item_id > 100")).count() == 0 and leak.without_leaks(d, it.where("item_id > 100")).count() == len(docs)
