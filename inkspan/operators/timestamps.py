@@ -2,7 +2,8 @@
 
 Each value becomes an array of all its interpretations (native expressions, no Python). What the row's source says about its
 order of day and month is a cost on the readings that contradict it. Every row's reading is chosen by a Viterbi pass over the
-source's record order that also penalises a change of format and a step back in time. The pass is exact and runs in blocks of
+source's record order that also penalises a change of format, a step back in time and a change of the order of day and month since
+the last date in numbers, however long ago that was. The pass is exact and runs in blocks of
 the record order: each block gives the cheapest cost between its first and last readings and the path for each, those small matrices
 are chained per source, and each block's path is then known. No task ever holds a whole source, and rows cross one shuffle.
 
@@ -58,7 +59,7 @@ FORMS = [
 ]
 
 INTERPRETATION = "struct<fmt:string,normal:string,micros:bigint,cost:double>"
-SWITCH_COST, BACK_COST = 1.0, 2.0
+SWITCH_COST, BACK_COST, ORDER_COST = 1.0, 2.0, 3.0
 #: Cost of a reading that contradicts what its source says: more than any step of the chain can save.
 AGAINST = 100.0
 #: Width of a block of the record order.
@@ -108,7 +109,8 @@ def interpretations(df: DataFrame, value: str, tz: str, day_first: str, out: str
     one = lambda fmt, m, d, off, cost: F.struct(fmt.alias("fmt"), m.alias("m"), d.alias("d"), off.cast("int").alias("off"), cost.cast("double").alias("cost"))
     m, d, zero = F.col("_m"), F.col("_d"), F.lit(0.0)
     # day and month as numbers may come in either order, and an abbreviation may mean another zone
-    first = F.when(F.col("_k").isNotNull(), one(F.col("_k"), m, d, F.col("_off"), F.when(numeric & ~known, AGAINST).otherwise(zero)))
+    name = F.when((F.col("_k") == "num") & (m == d), "num_same").otherwise(F.col("_k"))
+    first = F.when(F.col("_k").isNotNull(), one(name, m, d, F.col("_off"), F.when(numeric & ~known, AGAINST).otherwise(zero)))
     first = first.when(F.col("_iso").isNotNull(), one(F.lit("iso_day"), no_int, no_int, no_int, zero)).when(F.col("_epoch").isNotNull(), one(F.lit("epoch"), no_int, no_int, no_int, zero))
     swapped = F.when(numeric, one(F.lit("num_mdy"), d, m, F.col("_off"), F.when(known, AGAINST).otherwise(zero)))
     other = F.when(F.col("_zone").isin(*OTHER_MEANINGS), one(F.concat("_k", F.lit("_alt")), m, d, F.try_element_at(_lookup(OTHER_MEANINGS), F.col("_zone")), F.when(F.col(tz).isNotNull() | (numeric & ~known), AGAINST).otherwise(4.0)))
@@ -182,42 +184,38 @@ def _read(x: DataFrame, out: str) -> DataFrame:
 # --- choosing one reading a record ------------------------------------------------------------------------
 
 
-def _edge(fa: np.ndarray, ua: np.ndarray, fb: np.ndarray, ub: np.ndarray) -> np.ndarray:
-    """Cost of going from each reading in a to each in b."""
-    return SWITCH_COST * (fa[:, None] != fb[None, :]) + BACK_COST * (ub[None, :] < ua[:, None])
+def _edge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cost of going from each node in a to each in b; a node: format, time, order of day and month."""
+    return SWITCH_COST * (a[:, None, 0] != b[None, :, 0]) + BACK_COST * (b[None, :, 1] < a[:, None, 1]) + ORDER_COST * (a[:, None, 2] != b[None, :, 2])
 
 
-def _walk(n: np.ndarray, f: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest cost between each first and each last reading of a block, and for each such pair (row by row) the readings on the way.
+def _walk(at: np.ndarray, nodes: np.ndarray, own: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest cost between each first and each last node of a block, and for each such pair (row by row) the nodes on the way.
 
-    n: readings a row; f, u, c: their format, time and own cost. Steps between rows of one reading cost the same on every way
-    and are left out, so only rows of several and the rows after them are walked.
+    at: where each record's nodes begin (and all end); free: whether a record has one reading that says nothing on the order, so its two nodes
+    differ in the remembered order only. A step between two such records costs the same on every way and is left out.
     """
-    rows, first, last = len(n), int(n[0]), int(n[-1])
-    best = np.where(np.eye(first) > 0, c[0, :first][:, None], np.inf)
-    many = np.flatnonzero(n > 1)
-    steps = np.unique(np.concatenate([many, many + 1]))
-    steps = steps[(steps > 0) & (steps < rows)]
+    rows = len(at) - 1
+    of = lambda i: slice(at[i], at[i + 1])
+    first, last = int(at[1] - at[0]), int(at[-1] - at[-2])
+    best = np.where(np.eye(first) > 0, own[of(0)][:, None], np.inf)
+    busy = np.flatnonzero(~free)
+    steps = np.unique(np.concatenate([busy, busy + 1]))
+    steps = steps[(steps > 0) & (steps < rows)].tolist()
     back = []
     for i in steps:
-        a, b = int(n[i - 1]), int(n[i])
-        if best.shape[1] != a:  # the rows between have one reading each
-            raise AssertionError("a step was left out")
-        way = best[:, :, None] + _edge(f[i - 1, :a], u[i - 1, :a], f[i, :b], u[i, :b])[None]
+        way = best[:, :, None] + _edge(nodes[of(i - 1)], nodes[of(i)])[None]
         back.append(way.argmin(axis=1))
-        best = way.min(axis=1) + c[i, :b][None]
+        best = way.min(axis=1) + own[of(i)][None]
     picks = np.zeros((rows, first * last), dtype=np.uint8)
+    ends = [*steps[1:], rows]
     for a in range(first):
         for z in range(last):
-            k, at = a * last + z, z
+            k, node = a * last + z, z
             for j in range(len(steps) - 1, -1, -1):
-                i = int(steps[j])
-                if j + 1 < len(steps) and int(steps[j + 1]) != i + 1:
-                    at = 0
-                picks[i, k] = at
-                at = int(back[j][a, at])
-            picks[0, k] = a
-            picks[-1, k] = z
+                picks[steps[j] : ends[j], k] = node  # the records up to the next step keep the order
+                node = int(back[j][a, node])
+            picks[: steps[0] if steps else rows, k] = node if steps else a
     return best, picks
 
 
@@ -234,14 +232,23 @@ def _block(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         out[row, slot] = values
         return out
 
-    f, u, c = spread(pdf["_format"].to_numpy(), 0), spread(pdf["micros"].to_numpy(), 0), spread(pdf["cost"].to_numpy(), 0.0)
-    m, picks = _walk(n, f, u, c)
-    ways, digits = picks.shape[1], (picks + 48).tobytes().decode()
+    # a reading in numbers has an order; any other is two nodes, one for each order that may have been the last
+    fmt = pdf["fmt"].to_numpy(dtype=object)
+    told = np.array([f in ("num", "num_alt", "num_mdy") for f in fmt])
+    twice = np.repeat(np.arange(len(pdf)), np.where(told, 1, 2))
+    second = np.r_[False, twice[1:] == twice[:-1]]
+    order = np.where(told[twice], (fmt[twice] == "num_mdy").astype(np.int64), second.astype(np.int64))
+    nodes = np.stack([pdf["_format"].to_numpy(dtype=np.int64)[twice], pdf["micros"].to_numpy(dtype=np.int64)[twice], order], axis=1)
+    owner = row[twice]
+    at = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)]
+    m, picks = _walk(at, nodes, pdf["cost"].to_numpy(dtype=float)[twice], (n == 1) & ~told[starts])
+    reading = slot[twice][at[:-1][:, None] + picks].astype(np.uint8)
+    ways, digits = picks.shape[1], (reading + 48).tobytes().decode()
     out = pdf[[*keys, "_chain", "_block"]].iloc[starts].reset_index(drop=True)
     out["ways"] = [digits[i : i + ways] for i in range(0, len(digits), ways)]
-    for name, values in (("normals", spread(pdf["normal"].to_numpy(), "")), ("fmts", spread(pdf["fmt"].to_numpy(), "")), ("costs", c)):
+    for name, values in (("normals", spread(pdf["normal"].to_numpy(), "")), ("fmts", spread(fmt, "")), ("costs", spread(pdf["cost"].to_numpy(), 0.0))):
         out[name] = pd.Series([v[:k] for v, k in zip(values.tolist(), n.tolist())], dtype=object)
-    for name, values in (("ff", f[0, : n[0]]), ("fu", u[0, : n[0]]), ("lf", f[-1, : n[-1]]), ("lu", u[-1, : n[-1]]), ("m", m.ravel())):
+    for name, values in (("first", nodes[at[0] : at[1]].ravel()), ("last", nodes[at[-2] : at[-1]].ravel()), ("m", m.ravel())):
         out[name] = pd.Series([values.tolist(), *[None] * (len(out) - 1)], dtype=object)
     return out
 
@@ -250,12 +257,13 @@ def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
     """The way through each block on the cheapest path of a chain."""
     pdf = pdf.sort_values("_block")
     best, back, before = None, [], None
-    for ff, fu, lf, lu, m in zip(*[[np.array(v) for v in pdf[k]] for k in ("ff", "fu", "lf", "lu", "m")]):
-        m = m.reshape(len(ff), len(lf))
-        way = np.zeros((1, len(ff))) if best is None else best[:, None] + _edge(*before, ff, fu)
+    for first, last, m in zip(*[[np.array(v) for v in pdf[k]] for k in ("first", "last", "m")]):
+        first, last = first.reshape(-1, 3), last.reshape(-1, 3)
+        m = m.reshape(len(first), len(last))
+        way = np.zeros((1, len(first))) if best is None else best[:, None] + _edge(before, first)
         total = way.min(axis=0)[:, None] + m
-        back.append((None if best is None else way.argmin(axis=0), total.argmin(axis=0), len(lf)))
-        best, before = total.min(axis=0), (lf, lu)
+        back.append((None if best is None else way.argmin(axis=0), total.argmin(axis=0), len(last)))
+        best, before = total.min(axis=0), last
     out, z = [], int(best.argmin())
     for block, (came, entry, width) in zip(reversed(list(pdf["_block"])), reversed(back)):
         a = int(entry[z])
@@ -277,9 +285,9 @@ def choose_readings(read: DataFrame, keys: list[str], chain: str, order: str, bl
     alone = alone.select(*keys, *[F.col(f"_all.{c}").alias(f"{c}s") for c in ("normal", "fmt", "cost")], F.lit(0).alias("picked"))
     x = x.where("_ord is not null").withColumn("_block", F.floor(F.col("_ord") / block).cast("long")).withColumn("_tie", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).withColumn("_format", F.xxhash64("fmt"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name in keys)
-    ways = "ff array<long>, fu array<long>, lf array<long>, lu array<long>, m array<double>"
+    ways = "first array<long>, last array<long>, m array<double>"
     parts = cut(x.groupBy("_chain", "_block").applyInPandas(lambda pdf: _block(pdf, keys), f"{kinds}, _chain string, _block long, ways string, normals array<string>, fmts array<string>, costs array<double>, {ways}"))
-    ends = parts.where("m is not null").select("_chain", "_block", "ff", "fu", "lf", "lu", "m").groupBy("_chain").applyInPandas(_ends, "_chain string, _block long, _way int")
+    ends = parts.where("m is not null").select("_chain", "_block", "first", "last", "m").groupBy("_chain").applyInPandas(_ends, "_chain string, _block long, _way int")
     chosen = parts.join(small_side(cut(ends)), ["_chain", "_block"])
     return chosen.select(*keys, "normals", "fmts", "costs", F.substr("ways", F.col("_way") + 1, F.lit(1)).cast("int").alias("picked")).unionByName(alone)
 

@@ -60,17 +60,20 @@ def test_zones_against_brute_force(spark):
 def test_chain_is_the_best_path(spark):
     """Ambiguous days and months of an unknown source: blocks give the same cost as trying every path."""
     rng = random.Random(5)
-    days = [dt.date(2015, 1, 1) + dt.timedelta(days=rng.randrange(350)) for _ in range(9)]
-    df = spark.createDataFrame([(i, d.strftime("%m/%d/%Y"), i) for i, d in enumerate(days)], "id long, date string, pos long").withColumns({"tz": F.lit(None).cast("string"), "df": F.lit(None).cast("boolean")})
+    days = [dt.date(2015, 1, 1) + dt.timedelta(days=rng.randrange(350)) for _ in range(11)]
+    forms = ["%m/%d/%Y", "%d.%m.%Y", "%Y-%m-%d", "%m/%d/%Y"]
+    df = spark.createDataFrame([(i, d.strftime(forms[i % 4]), i) for i, d in enumerate(days)], "id long, date string, pos long").withColumns({"tz": F.lit(None).cast("string"), "df": F.lit(None).cast("boolean")})
     read = T.interpretations(df.withColumn("_rid", F.col("id")), "date", "tz", "df").withColumn("chain", F.lit("a"))
     nodes = [[r.reading for r in read.where(F.col("id") == i).collect() if r.reading] for i in range(len(days))]
 
     def cost(path):
         pairs = list(zip(path, path[1:]))
-        return sum(p.cost for p in path) + sum(T.SWITCH_COST * (a.fmt != b.fmt) + T.BACK_COST * (b.micros < a.micros) for a, b in pairs)
+        orders = [p.fmt == "num_mdy" for p in path if p.fmt in ("num", "num_mdy")]
+        turns = sum(a != b for a, b in zip(orders, orders[1:]))
+        return sum(p.cost for p in path) + sum(T.SWITCH_COST * (a.fmt != b.fmt) + T.BACK_COST * (b.micros < a.micros) for a, b in pairs) + T.ORDER_COST * turns
 
     best = min(cost(p) for p in itertools.product(*nodes))
-    for block in (2, 3, 1000):
+    for block in (1, 2, 3, 1000):
         got = {r.id: r.normals[r.picked] for r in T.choose_readings(read, ["id"], "chain", "pos", block).collect()}
         assert np.isclose(cost([next(n for n in ns if n.normal == got[i]) for i, ns in enumerate(nodes)]), best)
 
@@ -84,3 +87,9 @@ def test_a_source_outweighs_the_chain(spark):
     same = spark.createDataFrame([(1, "2015-07-04", "us", None), (1, "2015-07-04", "us", None), (2, "04.05.2015", None, None)], "id long, date string, source string, pos long")
     src = spark.createDataFrame(SOURCES, "source string, tz_name string, day_first boolean")
     assert sorted(r.decided for r in T.normalise(same, ["id"], "date", "source", "pos", src).collect()) == ["chain", "only", "only"]
+
+
+def test_the_order_is_remembered(spark):
+    rows = [("25/12/2015", None), ("2015-12-26", None), ("December 27, 2015", None), ("2015-12-28", None), ("03/04/2016", None), ("2016-04-05", None)] * 2 + [("12/25/2016", "z"), ("2016", "z"), ("03/04/2017", "z")]
+    got = run(spark, rows)
+    assert got[4].normal == got[10].normal == "2016-04-03" and got[14].normal == "2017-03-04"
