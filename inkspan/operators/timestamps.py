@@ -310,7 +310,7 @@ def normalise(df: DataFrame, keys: list[str], value: str, source: str, order: st
     x = x.join(small_side(known), "_skey", "left")
     x = interpretations(x.withColumn("_rid", F.monotonically_increasing_id()), "_raw", "_tzname", "_df")
     x = x.select(*keys, "_raw", "_pos", "_rid", F.concat_ws("|", "_part", F.coalesce("_skey", F.lit(""))).alias("_src"), "reading")
-    read = cut(x if keep_unread else x.where("reading is not null"))
+    read = cut(x)  # no filter before it: the optimiser would write the whole projection out once more to push it down
     x = choose_readings(read, [*keys, "_raw"], "_src", "_pos").withColumn("_cost", F.get("costs", "picked"))
     free, allowed = (F.size(F.filter("costs", test)) for test in (lambda c: c == 0, lambda c: c < AGAINST))
     only = (allowed == 1) | ((free == 1) & (F.col("_cost") == 0))
