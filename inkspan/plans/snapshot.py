@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import textfn as T
 from inkspan.plans.drafts import q, s_escape
+from inkspan.tables import own_path
 
 Q: dict = {}
 S: dict = {}
@@ -75,15 +76,65 @@ def label() -> F.Column:
     return F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("dir"))
 
 
+SNAPSHOT = "id long, updated string, note string, phrase_src string, dash_src string, phrases array<struct<label:string,v:double>>, dashes array<struct<label:string,v:double>>, trends array<struct<tell:string,evidence:string,dir:string,label:string>>"
+
+
+def _snapshots() -> list[tuple]:
+    """A sound snapshot and broken ones."""
+    phrases, trends = [(label, v) for _, label, v in PHRASES], [t[1:] for t in TRENDS]
+    good = (1, "2026-08-21", None, "a list of phrases", "a count of dashes", phrases, [("one", 0.0), ("two", 10.6), ("three", 100.0)], trends)
+    change = lambda i, **new: tuple(new.get(k, v) for k, v in zip(("id", "updated", "note", "phrase_src", "dash_src", "phrases", "dashes", "trends"), (i, *good[1:])))
+    return [
+        good, change(2, updated="2026"), change(3, note="n" * 201), change(4, phrase_src=None), change(5, dash_src="s" * 161), change(6, phrases=phrases[:2]), change(7, phrases=[*phrases, ("x" * 121, 1.0)]),
+        change(8, phrases=[*phrases, ("too much", 10001.0)]), change(9, dashes=[("d", 1.0)] * 13), change(10, dashes=[("d", -0.5), *good[6]]), change(11, trends=trends[:5]), change(12, trends=[*trends, ("t" * 121, "e", "stable", None)]),
+        change(13, trends=[*trends, ("t", "e", "sideways", None)]), change(14, trends=[*trends, ("t", "e" * 300, "stable", "l" * 81)]), change(15, phrases=[("p", 0.0)] * 12),
+    ]
+
+
+def checks() -> F.Column:
+    """The checks of a snapshot as an array of (name, ok), in order."""
+    short = lambda c, most: F.coalesce(F.length(c) <= most, F.lit(False))
+    value = lambda c, most: F.coalesce(c.between(0, most), F.lit(False))
+    several = lambda c, least, most: F.coalesce(F.size(c).between(least, most), F.lit(False))
+    every = lambda c, test: F.coalesce(F.forall(c, test), F.lit(False))
+    found = {
+        "updated": F.coalesce(F.length("updated").between(8, 40), F.lit(False)), "note": F.length(F.coalesce("note", F.lit(""))) <= 200, "sources": short("phrase_src", 160) & short("dash_src", 160),
+        "phrases": several("phrases", 3, 12), "phrase rows": every("phrases", lambda r: short(r["label"], 120) & value(r["v"], 10000)), "dashes": several("dashes", 3, 12), "dash rows": every("dashes", lambda r: short(r["label"], 60) & value(r["v"], 100)),
+        "trends": several("trends", 6, 20), "trend rows": every("trends", lambda r: short(r["tell"], 120) & short(r["evidence"], 300) & (F.length(F.coalesce(r["label"], F.lit(""))) <= 80)),
+        "directions": every("trends", lambda r: F.coalesce(r["dir"].isin(*DIRS), F.lit(False))),
+    }
+    return F.array(*[F.struct(F.lit(k).alias("name"), v.alias("ok")) for k, v in found.items()])
+
+
+def validated(snapshot: DataFrame) -> DataFrame:
+    """The snapshot of one row if every check holds; raises otherwise, so that nothing is changed."""
+    bad = [r.name for r in snapshot.limit(1).select(F.explode_outer(checks()).alias("c")).where("not c.ok").select("c.name").collect()]
+    if bad:
+        raise ValueError(f"the snapshot fails: {', '.join(bad)}")
+    return snapshot
+
+
 def validate(spark: SparkSession) -> DataFrame:
-    """One row a check with whether it holds; a snapshot with a failed check must change nothing."""
-    t = _trends(spark).agg(F.count("*").alias("n"), F.sum(F.when(~F.col("dir").isin(*DIRS) | (F.length("tell") > 60), 1).otherwise(0)).alias("bad"))
-    p = spark.createDataFrame(PHRASES, "ord int, label string, v double").agg(F.count("*").alias("n"), F.sum(F.when((F.col("v") <= 0) | (F.col("v") > 10000), 1).otherwise(0)).alias("bad"))
-    one = lambda x, name, lo, hi: x.select(F.lit(name).alias("name"), (F.col("n").between(lo, hi) & (F.col("bad") == 0)).alias("ok"))
-    return one(t, "trends", 6, 20).unionByName(one(p, "phrases", 3, 12))
+    """A row a snapshot and check with whether it holds."""
+    return spark.createDataFrame(_snapshots(), SNAPSHOT).select("id", F.explode_outer(checks()).alias("c")).select("id", "c.name", "c.ok")
+
 
+def _structs(rows: list, names: tuple[str, ...]) -> str:
+    return "[" + ", ".join("{" + ", ".join(f"'{k}': {lit(v)}" for k, v in zip(names, r)) + "}" for r in rows) + "]"
 
-add("validate_snapshot", lambda s, sf: validate(s), f"WITH {_T}, phrases AS {values(PHRASES, 'ord, label, v')} SELECT 'trends' AS name, count(*) BETWEEN 6 AND 20 AND count(*) FILTER (WHERE dir NOT IN ('rising', 'falling', 'stable') OR length(tell) > 60) = 0 AS ok FROM trends UNION ALL SELECT 'phrases', count(*) BETWEEN 3 AND 12 AND count(*) FILTER (WHERE v <= 0 OR v > 10000) = 0 FROM phrases")
+
+_SNAPS = "snaps AS (" + " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS id, CAST({lit(u)} AS VARCHAR) AS updated, CAST({lit(n)} AS VARCHAR) AS note, CAST({lit(ps)} AS VARCHAR) AS phrase_src, CAST({lit(ds)} AS VARCHAR) AS dash_src, "
+    f"CAST({_structs(p, ('label', 'v'))} AS STRUCT(label VARCHAR, v DOUBLE)[]) AS phrases, CAST({_structs(d, ('label', 'v'))} AS STRUCT(label VARCHAR, v DOUBLE)[]) AS dashes, CAST({_structs(t, ('tell', 'evidence', 'dir', 'label'))} AS STRUCT(tell VARCHAR, evidence VARCHAR, dir VARCHAR, label VARCHAR)[]) AS trends"
+    for i, u, n, ps, ds, p, d, t in _snapshots()
+) + ")"
+_ALL = lambda c, bad: f"len(list_filter({c}, lambda r: {bad})) = 0"
+_CHECKS = {
+    "updated": "coalesce(length(updated) BETWEEN 8 AND 40, false)", "note": "length(coalesce(note, '')) <= 200", "sources": "coalesce(length(phrase_src) <= 160, false) AND coalesce(length(dash_src) <= 160, false)",
+    "phrases": "len(phrases) BETWEEN 3 AND 12", "phrase rows": _ALL("phrases", "length(r.label) > 120 OR r.v < 0 OR r.v > 10000"), "dashes": "len(dashes) BETWEEN 3 AND 12", "dash rows": _ALL("dashes", "length(r.label) > 60 OR r.v < 0 OR r.v > 100"),
+    "trends": "len(trends) BETWEEN 6 AND 20", "trend rows": _ALL("trends", "length(r.tell) > 120 OR length(r.evidence) > 300 OR length(coalesce(r.label, '')) > 80"), "directions": _ALL("trends", "r.dir NOT IN ('rising', 'falling', 'stable')"),
+}
+add("validate_snapshot", lambda s, sf: validate(s), f"WITH {_SNAPS} " + " UNION ALL ".join(f"SELECT id, '{k}' AS name, {v} AS ok FROM snaps" for k, v in _CHECKS.items()))
 
 
 def changes(spark: SparkSession) -> DataFrame:
@@ -166,12 +217,35 @@ add("skill_section", lambda s, sf: trending_text(s).select(fenced(F.lit(_PAGE),
 add("blog_index", lambda s, sf: upserted(s).where("place = 1 or (slug is not null and title is not null)").select(F.col("place").cast("long").alias("place"), (F.col("place") == 1).alias("featured"), "slug", "title", F.coalesce("deck", F.get("items", F.lit(0))).alias("said")), f"WITH {_UP} SELECT place, place = 1 AS featured, slug, title, coalesce(deck, items[1]) AS said FROM up WHERE place = 1 OR (slug IS NOT NULL AND title IS NOT NULL)")
 _ANCHOR = "coalesce('/blog/' || slug, '#' || iso)"
 add("changelog", lambda s, sf: upserted(s).select("iso", "week", F.array_join(F.transform("items", T.html_escape), "; ").alias("items"), F.coalesce(F.concat(F.lit("/blog/"), "slug"), F.concat(F.lit("#"), "iso")).alias("link")), f"WITH {_UP} SELECT iso, week, coalesce(array_to_string(items, '; '), '') AS items, {_ANCHOR} AS link FROM up")
-add("feed", lambda s, sf: upserted(s).select("iso", F.coalesce("title", "week").alias("title"), F.coalesce("deck", F.array_join("items", " • ")).alias("description"), F.date_format(F.to_date("iso"), "EEE, dd MMM yyyy '12:00:00 GMT'").alias("published"), F.coalesce(F.concat(F.lit("/blog/"), "slug"), F.concat(F.lit("#"), "iso")).alias("link")), f"WITH {_UP} SELECT iso, coalesce(title, week) AS title, coalesce(deck, array_to_string(items, ' • '), '') AS description, strftime(CAST(iso AS DATE), '%a, %d %b %Y 12:00:00 GMT') AS published, {_ANCHOR} AS link FROM up")
+
+
+def feed(spark: SparkSession) -> DataFrame:
+    """The feed's items, newest first, each with its XML."""
+    said = F.coalesce("deck", F.array_join("items", " • "))
+    x = upserted(spark).select(F.col("place").cast("long").alias("place"), F.coalesce("title", "week").alias("title"), said.alias("description"), F.date_format(F.to_date("iso"), "EEE, dd MMM yyyy '12:00:00 GMT'").alias("published"), F.coalesce(F.concat(F.lit("/blog/"), "slug"), F.concat(F.lit("#"), "iso")).alias("link"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), T.attr_escape(F.col(c)), F.lit(f"</{name}>"))
+    return x.withColumn("xml", F.concat(F.lit("<item>"), tag("title", "title"), tag("link", "link"), tag("pubDate", "published"), tag("description", "description"), F.lit("</item>")))
+
+
+_XML = lambda name, c: f"'<{name}>' || replace({s_escape(c)}, '\"', '&quot;') || '</{name}>'"
+add("feed", lambda s, sf: feed(s), f"WITH {_UP}, f AS (SELECT place, coalesce(title, week) AS title, coalesce(deck, array_to_string(items, ' • '), '') AS description, strftime(CAST(iso AS DATE), '%a, %d %b %Y 12:00:00 GMT') AS published, {_ANCHOR} AS link FROM up) SELECT *, '<item>' || {_XML('title', 'title')} || {_XML('link', 'link')} || {_XML('pubDate', 'published')} || {_XML('description', 'description')} || '</item>' AS xml FROM f")
 add("prev_next", lambda s, sf: upserted(s).where("slug is not null").select("slug", F.lead("slug").over(Window.orderBy("place")).alias("previous")), f"WITH {_UP} SELECT slug, lead(slug) OVER (ORDER BY place) AS previous FROM up WHERE slug IS NOT NULL")
 add("blog_post", lambda s, sf: upserted(s).where("place = 1 and slug is not null and title is not null").select("slug", F.concat(F.lit("<h1>"), T.html_escape(F.col("title")), F.lit("</h1><p>"), T.html_escape(F.col("deck")), F.lit("</p>")).alias("html")), f"WITH {_UP} SELECT slug, '<h1>' || {s_escape('title')} || '</h1><p>' || {s_escape('deck')} || '</p>' AS html FROM up WHERE place = 1 AND slug IS NOT NULL AND title IS NOT NULL")
 _LIVE, _FALLBACK = {"updated": "2026-08-21", "note": "live"}, {"updated": "2026-01-01", "note": "old", "source": "embedded"}
 add("src_snapshot", lambda s, sf: s.createDataFrame(sorted(_FALLBACK.items()), "k string, f string").join(s.createDataFrame(sorted(_LIVE.items()), "k string, l string"), "k", "full").select("k", F.coalesce("l", "f").alias("v")), f"SELECT coalesce(f.k, l.k) AS k, coalesce(l.v, f.v) AS v FROM {values(sorted(_FALLBACK.items()), 'k, v')} f FULL JOIN {values(sorted(_LIVE.items()), 'k, v')} l ON l.k = f.k")
-add("snapshot_write", lambda s, sf: _trends(s).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tell", "dir"))), lambda r: F.struct(r["tell"].alias("tell"), r["dir"].alias("dir")))).alias("data")).select(F.lit(1).alias("id"), "data"), None)
+
+
+def snapshot_write(spark: SparkSession, sf: str) -> DataFrame:
+    """The one row of a snapshot that passed its checks, written over the row before and read again."""
+    path = own_path(spark, "snapshot")
+    good = validated(spark.createDataFrame(_snapshots()[:1], SNAPSHOT))
+    row = lambda rows: good.select(F.lit(1).cast("long").alias("id"), F.to_json(F.transform(rows, lambda r: F.struct(r["tell"].alias("tell"), r["dir"].alias("dir")))).alias("data"))
+    for rows in (F.slice("trends", 1, 2), F.col("trends")):
+        row(rows).coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("id long, data string").json(path)
+
+
+add("snapshot_write", snapshot_write, f"WITH {_T} SELECT CAST(1 AS BIGINT) AS id, CAST(to_json(list({{'tell': tell, 'dir': dir}} ORDER BY ord)) AS VARCHAR) AS data FROM trends")
 
 # --- board -------------------------------------------------------------------------------------------------
 

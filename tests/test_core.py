@@ -107,3 +107,14 @@ def test_core_stands_without_the_llm_folder():
     import __spark_entry__
 
     assert bool(importlib.util.find_spec("inkspan.llm")) == any(k.startswith("p1_") for k in __spark_entry__.queries())
+
+
+def test_each_broken_snapshot_fails_one_check(spark):
+    from inkspan.plans import snapshot
+
+    bad = {}
+    for r in snapshot.validate(spark).where("not ok").collect():
+        bad.setdefault(r.id, []).append(r.name)
+    assert bad == {2: ["updated"], 3: ["note"], 4: ["sources"], 5: ["sources"], 6: ["phrases"], 7: ["phrase rows"], 8: ["phrase rows"], 9: ["dashes"], 10: ["dash rows"], 11: ["trends"], 12: ["trend rows"], 13: ["directions"], 14: ["trend rows"]}
+    with pytest.raises(ValueError, match="directions"):
+        snapshot.validated(spark.createDataFrame(snapshot._snapshots()[12:13], snapshot.SNAPSHOT))
