@@ -26,10 +26,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-post statistics with the kind."""
+    """Per-post statistics, shares to six places."""
+    x = quality.with_statistics(table(spark, sf, "posts").select("post_id", "text"), "text", quality.common_list(table(spark, sf, "common_words")))
+    return x.select("post_id", *[F.col(f).cast("long").alias(f) if f in quality.COUNTS else F.round(f, 6).alias(f) for f in quality.FEATURES])
+
+
+def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every post with its kind, null for prose, as the learnt rules say."""
     common = quality.common_list(table(spark, sf, "common_words"))
     case = quality.learn(spark, table(spark, sf, "ai_texts"), "file", "text", common)
-    return quality.kinds(table(spark, sf, "posts").select("post_id", "text"), "text", case, common).drop("text")
+    return quality.kinds(table(spark, sf, "posts").select("post_id", "text"), "text", case, common).select("post_id", "kind")
 
 
 def p1_word_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,13 +138,30 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_statistics": p1_statistics, "p1_word_counts": p1_word_counts, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_text": p6_text,
+    "p1_found": p1_found, "p1_statistics": p1_statistics, "p1_kinds": p1_kinds, "p1_word_counts": p1_word_counts, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_text": p6_text,
     "p7_sample": p7_sample, "p7_pieces": p7_pieces, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 _KEYED = "SELECT post_id, piece, file, text, CAST(('0x' || substr(md5('42:' || CAST(post_id AS VARCHAR)), 1, 15)) AS BIGINT) AS sample_key FROM posts"
 
+_LINES = lambda p, more="": f"len(list_filter(ls, lambda l: regexp_matches(l, '{p}'){more})) / m"
+_GONE = lambda c: f"(length(t) - length(translate(t, {c}, '')))"
+_STATISTICS = rf"""
+    WITH base AS (SELECT post_id, trim(regexp_replace(coalesce(text, ''), '<br[\t-\r ]*/?>|\r', chr(10), 'g'), ' ') AS t FROM posts),
+    cut AS (SELECT post_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '') AS ls, list_filter(string_split_regex(t, '[\t-\r ]+'), lambda w: w <> '') AS ws FROM base),
+    x AS (SELECT *, greatest(length(regexp_replace(t, '[\t-\r ]+', '', 'g')), 1) AS solid, greatest(len(ws), 1) AS n, greatest(len(ls), 1) AS m FROM cut),
+    known AS (SELECT list(DISTINCT word) AS ks FROM common_words WHERE word IS NOT NULL)
+    SELECT post_id, len(ws) AS n_words, round(solid / n, 6) AS mean_word, coalesce(list_max(list_transform(ws, lambda w: length(w))), 0) AS max_word, round(len(list_distinct(ws)) / n, 6) AS "distinct",
+        round(length(regexp_replace(t, '\P{{L}}+', '', 'g')) / solid, 6) AS letters, round({_GONE("'" + quality._SYMBOLS + "'")} / solid, 6) AS symbols, round({_GONE("'0123456789'")} / solid, 6) AS digits,
+        round({_LINES('[.!?…"”»)]$')}, 6) AS end_punct, round({_LINES(quality.BULLET)}, 6) AS bullets, round({_LINES(quality.BULLET + '.*[^.!?…]$')}, 6) AS open_bullets, round({_LINES(quality.CELLS)}, 6) AS cells,
+        round(len(ws) / m, 6) AS line_words, round({_LINES('^[A-Z0-9_][^\t-\r ]*([\t-\r ]+[^\t-\r ]+){{0,6}}$', " AND NOT regexp_matches(l, '[.!?…:,;]$')")}, 6) AS items,
+        round(len(list_filter(ws, lambda w: list_contains(ks, lower(w)))) / n, 6) AS common, round({_GONE("','")} / n, 6) AS commas, round(n / ({_GONE("',;' || chr(10)")} + 1), 6) AS segment,
+        round(len(list_filter(ws, lambda w: length(w) = 1)) / n, 6) AS single, round(len(regexp_extract_all(t, '[.!?…]["”»)]*([\t-\r ]|$)')) / n, 6) AS stops, len(ls) AS n_lines,
+        round({_LINES('^\p{{Ll}}')}, 6) AS lower_start, round({_LINES('[;,]$')}, 6) AS open_end
+    FROM x, known""".replace("{{", "{").replace("}}", "}")
+
 ORACLES = {
+    "p1_statistics": _STATISTICS,
     "p7_sample": f"SELECT * FROM ({_KEYED}) ORDER BY sample_key, post_id LIMIT {SAMPLE_SIZE}",
     "p7_pieces": f"""
         SELECT p.piece, p.posts, coalesce(s.sampled, 0) AS sampled

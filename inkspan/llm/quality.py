@@ -28,6 +28,10 @@ FEATURES = (
     "n_words", "mean_word", "max_word", "distinct", "letters", "symbols", "digits", "end_punct", "bullets", "open_bullets", "cells", "line_words", "items",
     "common", "commas", "segment", "single", "stops", "n_lines", "lower_start", "open_end",
 )
+COUNTS = ("n_words", "max_word", "n_lines")
+#: What a line of a list begins with, and what the cells of a row stand between.
+BULLET = r"^(\[.?\]|[-*•·–—►✓+]|\d{1,3}[.)]|[a-zA-Z][.)])\s"
+CELLS = r"\t|^\|.*\||;\S.*;\S|\S\s{3,}\S.*\S\s{2,}\S|\.{4,}.*\.{3,}|: [\d.,]+ / [\d.,]+|\S,[\d.]+,[\d.]+"
 _SYMBOLS = r"<>|{}\/=+#_*&^%$@~;`[]"
 
 
@@ -54,9 +58,9 @@ def with_statistics(df: DataFrame, text: str, common: list[str]) -> DataFrame:
         "symbols": gone(_SYMBOLS) / F.col("_solid"),
         "digits": gone("0123456789") / F.col("_solid"),
         "end_punct": lines(r"""[.!?…"”»)]$"""),
-        "bullets": lines(r"^(\[.?\]|[-*•·–—►✓+]|\d{1,3}[.)]|[a-zA-Z][.)])\s"),
-        "open_bullets": lines(r"^(\[.?\]|[-*•·–—►✓+]|\d{1,3}[.)]|[a-zA-Z][.)])\s.*[^.!?…]$"),
-        "cells": lines(r"\t|^\|.*\||;\S.*;\S|\S\s{3,}\S.*\S\s{2,}\S|\.{4,}.*\.{3,}|: [\d.,]+ / [\d.,]+|\S,[\d.]+,[\d.]+"),
+        "bullets": lines(BULLET),
+        "open_bullets": lines(BULLET + r".*[^.!?…]$"),
+        "cells": lines(CELLS),
         "line_words": F.col("n_words") / F.col("_m"),
         "items": lines(r"^[^\p{Ll}\W]\S*(\s+\S+){0,6}(?<![.!?…:,;])$"),
         "common": F.expr(f"size(filter(_words, w -> lower(w) in ({known})))") / F.col("_n") if known else F.lit(0.0),
