@@ -73,9 +73,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_text(spark: SparkSession, sf: str) -> DataFrame:
     """Each mail's newly written text; a mail without any has an empty one."""
-    mails = table(spark, sf, "mails").select("mail_id", "text")
-    new = mail.label_lines(mails).where("label = 'new'").groupBy("mail_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("new_text"))
-    return mails.select("mail_id").join(new, "mail_id", "left").select("mail_id", F.coalesce("new_text", F.lit("")).alias("new_text"))
+    return mail.new_texts(table(spark, sf, "mails"))
 
 
 #: Size of the sample of posts.

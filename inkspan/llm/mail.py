@@ -42,7 +42,7 @@ _LEGAL = re.compile(
     r"|confidencial\w*|destinatari\w+|por error|opiniones|responsabilidad|aviso|legal|elimin\w+|imprimir|medio ambiente)\b"
 )
 _CONTACT = re.compile(r"(?i)(https?://|www\.|@|☎|\+\d{2}|\btel\b|\bt[ .:+]+\d|\bm: |\(\d\)\d|\d{3}[ .-]\d{3,4})")
-_GREET = re.compile(r"(?i)^(hi|hello|dear|hey|morning|good (morning|evening)|hallo|liebe[rs]?|lieber|guten|bonjour|cher|chère|salut|hola|querid[oa]|estimad[oa]|buenos)\b")
+_GREET = re.compile(r"(?i)^(hi|hello|dear|hey|morning|good (morning|evening)|hallo|liebe[rs]?|lieber|guten|bonjour|cher|chère|salut|hola|querid[oa]|estimad[oa]|buen[oa]s)\b")
 _CLOSE = re.compile(r"(?i)^(kind |best |warm |many )?(regards|best|thanks|thank you|cheers|yours|talk soon|sincerely|all the best|take care|danke|gruß|grüße|(viele|liebe|beste|herzliche) grüße|mit freundlichen grüßen|bis bald|cordialement|bien à (toi|vous)|à bientôt|merci|amitiés|bises|un saludo|saludos|hasta pronto|gracias|un abrazo|atentamente)\b[^.?!]{0,20}$")
 
 
@@ -218,7 +218,7 @@ class Chain:
 _GIVEN = ["Marta", "Joel", "Ines", "Tariq", "Clément", "Beate", "Øyvind", "Nuria", "Ana-Rosa", "Piotr", "Léonie", "Wim"]
 _FAMILY = ["Halvern", "Castrel", "Obermoor", "Tindalay", "del Monte", "Quarrish", "Belfort", "Sandrik", "O'Malloy", "van Teele"]
 _CLOSINGS = ["Kind regards,", "Best,", "Best regards", "Thanks,", "Thanks", "Cheers,", "Yours", "Talk soon,", "Regards,", "All the best,", "Mit freundlichen Grüßen", "Viele Grüße", "Gruß,", "Danke", "Liebe Grüße,", "Bis bald", "Cordialement,", "Bien à toi,", "À bientôt", "Merci", "Un saludo,", "Hasta pronto", "Gracias,", "Saludos"]
-_GREETINGS = ["Hi {n},", "Hello {n},", "Dear {n},", "{n},", "{n} -", "Morning {n} -", "Hey {n}", "Hallo {n},", "Liebe {n},", "Lieber {n},", "Guten Morgen {n},", "Bonjour {n},", "Chère {n},", "Salut {n},", "Hola {n},", "Querida {n}:", "Estimado {n},", "Hi all,"]
+_GREETINGS = ["Hi {n},", "Hello {n},", "Dear {n},", "{n},", "{n} -", "Morning {n} -", "Hey {n}", "Hallo {n},", "Liebe {n},", "Lieber {n},", "Guten Morgen {n},", "Bonjour {n},", "Chère {n},", "Salut {n},", "Hola {n},", "Querida {n}:", "Buenas tardes, {n}:", "Estimado {n},", "Hi all,"]
 _RANKS, _JOBS = ["Senior", "Junior", "Lead", "Assistant", "Deputy", "", ""], ["Manager", "Engineer", "Analyst", "Accountant", "Director", "Consultant", "Coordinator", "Designer", "Teacher", "Officer", "Editor"]
 _UNITS = ["Sales", "Finance", "Human Resources", "Research", "Customer Care", "Purchasing", "Public Affairs", "Library Services", "Vertrieb", "Personalabteilung", "Buchhaltung", "Kundendienst", "Ressources humaines", "Service commercial", "Comptabilité", "Recursos humanos", "Atención al cliente", "Ventas"]
 _SHORT_ROLES = ["{j}, {u}", "{r} {j}", "{r} {j}, {u}", "{u}", "{u} Department", "Office of {u}", "Head of {u}", "Abteilung {u}", "Service {u}", "{u} y {u2}", "{u} & {u2}", "Freelance {j}"]
@@ -439,10 +439,16 @@ def label_mail(text: str, model: Chain) -> list[tuple[int, str]]:
     return [(at + i + 1, LABELS[y]) for i, y in zip(kept, model.decode(_ids(f)))]
 
 
+def trained(mails: DataFrame, key: str, text: str, sample: int) -> Chain:
+    """The model, trained with the sentences of ``sample`` mails drawn by a hash of the key; only the drawn keys' texts are fetched."""
+    drawn = mails.where(F.col(text).isNotNull()).select(F.col(key).alias("_k")).orderBy(F.xxhash64("_k", F.lit(3)), "_k").limit(sample)
+    rows = mails.join(F.broadcast(drawn.distinct()), F.col(key) == F.col("_k"), "left_semi").where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return train([r.t for r in sorted(rows.limit(4 * sample).collect(), key=lambda r: (str(r.k), r.t))])
+
+
 def label_lines(mails: DataFrame, key: str = "mail_id", text: str = "text", sample: int = TRAIN_MAILS) -> DataFrame:
     """key, line_no, label, line for each non-blank body line of each mail."""
-    rows = mails.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).orderBy(F.xxhash64("k", F.lit(3)), "k").limit(sample).collect()
-    model = train([r.t for r in rows])
+    model = trained(mails, key, text, sample)
 
     def run(batches):
         for b in batches:
@@ -457,3 +463,19 @@ def label_lines(mails: DataFrame, key: str = "mail_id", text: str = "text", samp
 
     kind = mails.schema[key].dataType.simpleString()
     return mails.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, line_no int, label string, line string")
+
+
+def new_texts(mails: DataFrame, key: str = "mail_id", text: str = "text", sample: int = TRAIN_MAILS) -> DataFrame:
+    """key, new_text of each mail: its newly written lines, joined where they were labelled; empty if there is none."""
+    model = trained(mails, key, text, sample)
+
+    def own(t: str | None) -> str:
+        lines = t.split("\n") if isinstance(t, str) else []
+        return "\n".join(lines[n - 1].rstrip("\r") for n, label in label_mail(t, model) if label == "new") if lines else ""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({key: b["k"], "new_text": pd.Series([own(t) for t in b["t"]], dtype=object, index=b.index)})
+
+    kind = mails.schema[key].dataType.simpleString()
+    return mails.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, new_text string")

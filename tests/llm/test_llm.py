@@ -162,6 +162,17 @@ def test_mail_lines_held_out():
     assert [k for k, label in mail.label_mail(text, model) if label == "new"] == [3, 5]
 
 
+def test_new_texts_and_lines_agree(spark):
+    rows = [(1, "From: a@x.example\n\nThe roof is tight.\r\n\nIt rained.\n\nBest,\nAnn\n"), (2, None), (3, ""), (4, "no empty line"), (5, "From: a@x.example\n\n> old\n"), (1, "From: a@x.example\n\nThe roof is tight.\r\n\nIt rained.\n\nBest,\nAnn\n")]
+    df = spark.createDataFrame(rows, "mail_id long, text string").withColumn("k", F.lit("clash")).withColumn("label", F.lit("clash"))
+    got = sorted((r.mail_id, r.new_text) for r in mail.new_texts(df).collect())
+    lines = {}
+    for r in sorted(mail.label_lines(df.dropDuplicates(["mail_id"])).where("label = 'new'").collect(), key=lambda r: r.line_no):
+        lines.setdefault(r.mail_id, []).append(r.line)
+    assert [k for k, _ in got] == [1, 1, 2, 3, 4, 5] and all(t == "\n".join(lines.get(k, [])) for k, t in got) and got[0][1].startswith("The roof is tight.")
+    assert mail.new_texts(df.limit(0)).count() == 0
+
+
 def test_mail_wording_that_the_trainer_never_saw():
     """Parts of mails written for this test, in words that the made ones do not have."""
     model = mail.train(["H: x\n\n" + " ".join(SENTENCES)], made=800)
