@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,25 @@ def test_checker_golden(spark):
     assert got == {1: [("negative_parallelism", 0, 26)], 2: [("negative_parallelism", 0, 26)], 3: [("em_dash", 4, 5), ("em_dash", 10, 12)], 4: [], 5: []}
 
 
+def test_very_repetitive_drafts_end_soon(spark):
+    """The cap's hits and all dashes, in time that grows as the text: each hit copied all before it, also those beyond the cap."""
+    rows = [(1, "delve " * 12_000 + "let that sink in. let that sink in. "), (2, "— " * 12_000)]
+    began = time.monotonic()
+    x = checker.with_hits(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "hits").collect()
+    assert time.monotonic() - began < 20
+    got = {r.doc_id: [(h.rule_id, h.start, h.end) for h in r.hits] for r in x}
+    assert got[1] == [("slop_words", 6 * i, 6 * i + 5) for i in range(checker.HIT_CAP + 1)] + [("bot_scaffolding", 72_000, 72_016)]
+    assert got[2] == [("em_dash", 2 * i, 2 * i + 1) for i in range(12_000)]
+
+
+def test_odd_blanks_and_marks_in_drafts(spark):
+    """Blanks beyond ASCII count as blanks but not as one that a pattern spells out; a text may hold the mark itself."""
+    rows = [(1, "in\u00a0conclusion \x01 delve\x01"), (2, "here's\u00a0the kicker, here's the kicker"), (3, "no discussion of a\u2028b complete without, no discussion of a\u00a0b complete without"), (4, None)]
+    x = checker.with_hits(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "hits").collect()
+    got = {r.doc_id: r.hits and [(h.rule_id, h.start, h.end) for h in r.hits] for r in x}
+    assert got == {1: [("slop_words", 16, 21), ("summary_ending", 0, 13)], 2: [("stock_openers", 19, 36)], 3: [("editorializing", 39, 76)], 4: None}
+
+
 def test_kept_is_disjoint_and_sorted(spark):
     text = "In today's digital age we delve into a tapestry, highlighting the need for holistic, seamless, and robust plans. Not a plan, but a wish. It isn't a map. It's a mirror."
     kept = checker.checked(spark.createDataFrame([(1, text)], "id long, text string")).first().kept
